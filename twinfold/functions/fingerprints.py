@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import md5
 
@@ -34,7 +35,8 @@ PRIME = 2**31 - 1
 PREFIX_A, PREFIX_B = "a", "b"
 
 _BLOCK = 128  # shingles hashed at a time, so that the work stays in cache
-_CACHE = 1_000_000  # piece hashes remembered per worker call
+_GROUP = 500_000  # characters handled together: bounds memory, and shares hashes between texts
+_CACHE = 1_000_000  # piece hashes remembered per task
 
 
 def _low(text: str, size: int) -> int:
@@ -45,11 +47,11 @@ def _low(text: str, size: int) -> int:
 def coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
     a = [1 + _low(f"{PREFIX_A}{i}", 4) % (PRIME - 1) for i in range(count)]
     b = [_low(f"{PREFIX_B}{i}", 4) % PRIME for i in range(count)]
-    return np.array(a, dtype=np.uint64)[:, None], np.array(b, dtype=np.uint64)[:, None]
+    return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
 
 
 def _hashes(pieces, size: int, cache: dict) -> np.ndarray:
-    """Hash of every piece; repeated pieces of a batch are hashed once."""
+    """Hash of every piece; repeated pieces of a task are hashed once."""
     if len(cache) > _CACHE:
         cache.clear()
     found = []
@@ -61,23 +63,66 @@ def _hashes(pieces, size: int, cache: dict) -> np.ndarray:
     return np.array(found, dtype=np.uint64)
 
 
-def shingle_set(text: str, size: int) -> set[str]:
-    return {text[i : i + size] for i in range(len(text) - size + 1)}
-
-
-def minhash_values(pieces: set[str], count: int, cache: dict) -> np.ndarray:
+def groups_of(texts: pd.Series) -> Iterator[list[str]]:
+    """Consecutive texts of about _GROUP characters together."""
+    group: list[str] = []
+    length = 0
+    for text in texts:
+        group.append(text)
+        length += len(text)
+        if length >= _GROUP:
+            yield group
+            group, length = [], 0
+    if group:
+        yield group
+
+
+def shingle_index(texts: list[str], size: int) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct shingles of a group of texts, and for each text which of them it has."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    used = np.unique(points)
+    if len(used) ** size >= 2**63:  # too many different characters to pack a shingle in 64 bits
+        sets = [{text[i : i + size] for i in range(len(text) - size + 1)} for text in texts]
+        number = {piece: i for i, piece in enumerate(set().union(*sets))}
+        return list(number), [np.array([number[piece] for piece in s], dtype=np.int64) for s in sets]
+    code = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=np.int64)
+    code[used] = np.arange(len(used))
+    codes = code[points]
+    windows = np.zeros(max(len(codes) - size + 1, 0), dtype=np.int64)
+    for j in range(size):
+        windows *= len(used)
+        windows += codes[j : j + len(windows)]
+    starts = np.cumsum([0] + [len(text) for text in texts])
+    own = [np.unique(windows[s : s + max(len(text) - size + 1, 0)]) for s, text in zip(starts, texts)]
+    every = np.unique(np.concatenate(own))
+    powers = len(used) ** np.arange(size - 1, -1, -1, dtype=np.int64)
+    letters = used[every[:, None] // powers % max(len(used), 1)].tobytes().decode("utf-32-le")
+    pieces = [letters[i : i + size] for i in range(0, len(letters), size)]
+    return pieces, [np.searchsorted(every, keys) for keys in own]
+
+
+def permuted(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Row per hash, column per permutation."""
     a, b = coefficients(count)
-    h = _hashes(pieces, 4, cache) % np.uint64(PRIME)
-    best = np.full(count, PRIME, dtype=np.uint64)
     p = np.uint64(PRIME)
-    for start in range(0, len(h), _BLOCK):
-        values = a * h[start : start + _BLOCK]
+    table = np.empty((len(hashes), count), dtype=np.uint32)
+    for start in range(0, len(hashes), _BLOCK):
+        values = hashes[start : start + _BLOCK, None] * a
         values += b
         multiples = values // p  # numpy divides by a scalar much faster than it takes remainders
         multiples *= p
         values -= multiples
-        np.minimum(best, values.min(axis=1), out=best)
-    return best
+        table[start : start + _BLOCK] = values
+    return table
+
+
+def minhashes(texts: pd.Series, size: int, count: int, cache: dict) -> Iterator[tuple[int, np.ndarray | None]]:
+    """Number of distinct shingles and MinHash values of each text; None without shingles."""
+    for group in groups_of(texts):
+        pieces, owned = shingle_index(group, size)
+        table = permuted(_hashes(pieces, 4, cache) % np.uint64(PRIME), count)
+        for rows in owned:
+            yield len(rows), table[rows].min(axis=0) if len(rows) else None
 
 
 def band_hashes(values: np.ndarray, rows: int) -> list[int]:
@@ -101,25 +146,28 @@ def simhash_value(tokens: list[str], cache: dict) -> int:
 def fingerprint(normalized: Column, params: Params = DEFAULT) -> Column:
     """struct(simhash, n_shingles, buckets) of normalised text; no buckets without shingles."""
     size, rows, count = params.shingle_size, params.rows, params.permutations
+    shingle_cache: dict = {}
+    token_cache: dict = {}
 
     @F.pandas_udf("simhash bigint, n_shingles int, buckets array<bigint>")
     def features(texts: pd.Series) -> pd.DataFrame:
-        shingle_cache: dict = {}
-        token_cache: dict = {}
-        out = []
-        for text in texts:
-            pieces = shingle_set(text, size)
-            buckets = band_hashes(minhash_values(pieces, count, shingle_cache), rows) if pieces else []
-            out.append((simhash_value(text.split(), token_cache), len(pieces), buckets))
-        return pd.DataFrame(out, columns=["simhash", "n_shingles", "buckets"])
+        hashed = list(minhashes(texts, size, count, shingle_cache))
+        return pd.DataFrame(
+            {
+                "simhash": [simhash_value(text.split(), token_cache) for text in texts],
+                "n_shingles": [n for n, _ in hashed],
+                "buckets": [band_hashes(values, rows) if n else [] for n, values in hashed],
+            }
+        )
 
     return features(normalized)
 
 
 def simhash(normalized: Column) -> Column:
+    cache: dict = {}
+
     @F.pandas_udf("bigint")
     def value(texts: pd.Series) -> pd.Series:
-        cache: dict = {}
         return pd.Series([simhash_value(text.split(), cache) for text in texts], dtype="int64")
 
     return value(normalized)
@@ -128,14 +176,12 @@ def simhash(normalized: Column) -> Column:
 def minhash(normalized: Column, params: Params = DEFAULT) -> Column:
     """All MinHash values of a text as an array; empty without shingles."""
     size, count = params.shingle_size, params.permutations
+    cache: dict = {}
 
     @F.pandas_udf("array<bigint>")
     def value(texts: pd.Series) -> pd.Series:
-        cache: dict = {}
-        sets = (shingle_set(text, size) for text in texts)
-        return pd.Series(
-            [minhash_values(s, count, cache).astype(np.int64) if s else [] for s in sets], dtype=object
-        )
+        hashed = minhashes(texts, size, count, cache)
+        return pd.Series([values.astype(np.int64) if n else [] for n, values in hashed], dtype=object)
 
     return value(normalized)
 

@@ -23,10 +23,10 @@ def bucket_rows(texts: DataFrame, *extra: str) -> DataFrame:
     return texts.select(F.explode("buckets").alias("bucket"), "article_id", "simhash", "n_shingles", *extra)
 
 
-def bucket_members(rows: DataFrame) -> DataFrame:
+def bucket_members(rows: DataFrame, total: int | None = None) -> DataFrame:
     """Rows of buckets with two or more texts, with ``members`` and ``pivot``, the smallest id.
 
-    With a boolean ``fresh`` column, only buckets with a fresh text are kept.
+    ``total`` bounds the number of rows. With a boolean ``fresh`` column, only buckets with a fresh text are kept.
     """
     fresh = F.max("fresh") if "fresh" in rows.columns else F.lit(True)
     stats = (
@@ -35,7 +35,12 @@ def bucket_members(rows: DataFrame) -> DataFrame:
         .where("members >= 2 AND wanted")
         .drop("wanted")
     )
-    return join_groups(rows, stats, ["bucket"], "members")
+    return join_groups(rows, stats, ["bucket"], "members", total=total)
+
+
+def stored_members(texts: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Bucket members of stored text groups, stored."""
+    return materialize(bucket_members(bucket_rows(texts), texts.count() * params.bands))
 
 
 def pair_columns(rows: DataFrame) -> list[str]:
@@ -65,7 +70,7 @@ def candidate_pairs(members: DataFrame, threshold: float = 0.0, chunk: int = CHU
 
 def candidates(texts: DataFrame) -> DataFrame:
     """All pairs of distinct texts sharing a band, from text groups."""
-    return candidate_pairs(bucket_members(bucket_rows(texts)))
+    return candidate_pairs(stored_members(texts))
 
 
 def hamming_pairs(pairs: DataFrame) -> DataFrame:
@@ -84,9 +89,8 @@ def pair_texts(pairs: DataFrame, articles: DataFrame) -> DataFrame:
     return with_normalized(found).select("article_id", "normalized", "degree")
 
 
-def spread(pairs: DataFrame) -> DataFrame:
-    """Stored pairs over enough tasks for the work they stand for."""
-    count = pairs.count()
+def spread(pairs: DataFrame, count: int) -> DataFrame:
+    """Pairs over enough tasks for the work they stand for."""
     cores = pairs.sparkSession.sparkContext.defaultParallelism
     return pairs.repartition(max(count // PAIRS_PER_TASK, min(count // 10, 4 * cores), 1))
 
@@ -106,17 +110,20 @@ def score_pairs(pairs: DataFrame, articles: DataFrame, params: Params = DEFAULT)
             F.col("degree").alias(f"degree_{name}"),
         )
 
-    joined = join_groups(spread(pairs), side("a"), ["article_id_a"], "degree_a").drop("degree_a")
-    joined = join_groups(joined, side("b"), ["article_id_b"], "degree_b").drop("degree_b")
+    count = pairs.count()
+    joined = join_groups(spread(pairs, count), side("a"), ["article_id_a"], "degree_a", total=count).drop("degree_a")
+    joined = join_groups(joined, side("b"), ["article_id_b"], "degree_b", total=count).drop("degree_b")
     size = params.shingle_size
     common = sim.overlap(sim.shingles(F.col("text_a"), size), sim.shingles(F.col("text_b"), size))
-    score = sim.jaccard_from_counts(common, F.col("n_shingles_a"), F.col("n_shingles_b"))
-    return materialize(joined.withColumn("score", score).drop("text_a", "text_b"))
+    # Two steps: the score uses the overlap three times, and it must be computed once.
+    counted = joined.select(*pairs.columns, common.alias("common"))
+    score = sim.jaccard_from_counts(F.col("common"), F.col("n_shingles_a"), F.col("n_shingles_b"))
+    return materialize(counted.withColumn("score", score).drop("common"))
 
 
 def similar_pairs(texts: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Candidate pairs with Jaccard at or above the threshold."""
-    pairs = materialize(candidate_pairs(bucket_members(bucket_rows(texts)), params.threshold))
+    pairs = materialize(candidate_pairs(stored_members(texts, params), params.threshold))
     return score_pairs(pairs, articles, params).where(F.col("score") >= params.threshold)
 
 

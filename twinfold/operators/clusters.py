@@ -31,15 +31,17 @@ def simhash_star(texts: DataFrame) -> DataFrame:
     )
 
 
-def verified_edges(rows: DataFrame, articles: DataFrame, params: Params, links: DataFrame | None = None) -> DataFrame:
+def verified_edges(
+    rows: DataFrame, articles: DataFrame, params: Params, links: DataFrame | None = None, total: int | None = None
+) -> DataFrame:
     """Verified pairs of distinct texts for clustering, with their ``score``.
 
     ``rows`` are bucket rows; with a ``fresh`` column only pairs with a fresh text count.
     Buckets over ``params.max_bucket`` texts take the hot-bucket path; there, a score
     is the best over the pairs it compared. ``links(u, v)`` are connections between
-    article ids that are known already and need no comparison.
+    article ids that are known already and need no comparison. ``total`` bounds the rows.
     """
-    members = materialize(cand.bucket_members(rows))
+    members = materialize(cand.bucket_members(rows, total))
     small = members.where(F.col("members") <= params.max_bucket)
     hot = members.where(F.col("members") > params.max_bucket)
     any_hot = not hot.isEmpty()
@@ -110,7 +112,7 @@ def assign_clusters(features: DataFrame, nodes: DataFrame) -> DataFrame:
     """Final state per article: matched with cluster and score, or unique with nulls."""
     key = "text_key" if "text_key" in nodes.columns else "simhash"
     found = nodes.where("cluster_id IS NOT NULL")
-    return join_groups(features, found, [key], "articles", how="left").withColumn(
+    return join_groups(features, found, [key], "articles", how="left", total=features.count()).withColumn(
         "cluster_status", F.when(F.col("cluster_id").isNull(), "unique").otherwise("matched")
     ).drop("articles")
 
@@ -119,7 +121,7 @@ def cluster(articles: DataFrame, params: Params = DEFAULT, verify_exact: bool =
     features = materialize(extract_features(articles, params))
     texts = materialize(text_groups(features))
     links = None if verify_exact else simhash_star(texts)
-    edges = verified_edges(cand.bucket_rows(texts), articles, params, links)
+    edges = verified_edges(cand.bucket_rows(texts), articles, params, links, texts.count() * params.bands)
     nodes = node_results(texts, edges, verify_exact)
     return Clustering(features, texts, edges, assign_clusters(features, nodes))
 
@@ -220,7 +222,8 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     active = rows.groupBy("text_key").agg(F.max("again").alias("fresh"))
     texts = materialize(text_groups(rows).where("n_shingles > 0").join(active, "text_key"))
     by_cluster = kept.where("cluster_id IS NOT NULL").select(F.col("article_id").alias("u"), F.col("cluster_id").alias("v"))
-    edges = verified_edges(cand.bucket_rows(texts, "fresh"), articles, params, by_cluster)
+    total = rows.count()
+    edges = verified_edges(cand.bucket_rows(texts, "fresh"), articles, params, by_cluster, total * params.bands)
     ends = F.array(
         F.struct(F.col("article_id_a").alias("article_id"), "score"),
         F.struct(F.col("article_id_b").alias("article_id"), "score"),
@@ -235,7 +238,7 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     # Components over texts, existing clusters and single articles. Names of existing
     # clusters sort before "~", so a merged component takes the smallest of them.
     member = F.coalesce("cluster_id", F.concat(F.lit("~"), F.col("article_id")))
-    in_texts = join_groups(rows, touched, ["text_key"], "copies").withColumn("member", member)
+    in_texts = join_groups(rows, touched, ["text_key"], "copies", total=total).withColumn("member", member)
     text_node = F.concat(F.lit("~~"), F.col("text_id"))
     links = in_texts.select(text_node.alias("u"), F.col("member").alias("v")).distinct()
     across = edges.select(
@@ -253,8 +256,8 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
         F.col("node").alias("cluster_id"), F.col("new_id").alias("merged_id")
     )
     merged = rows.groupBy("cluster_id").agg(F.count("*").alias("size")).join(merged, "cluster_id")
-    state = join_groups(rows, by_text, ["text_key"], "copies", how="left")
-    state = join_groups(state, merged, ["cluster_id"], "size", how="left")
+    state = join_groups(rows, by_text, ["text_key"], "copies", how="left", total=total)
+    state = join_groups(state, merged, ["cluster_id"], "size", how="left", total=total)
     state = state.withColumn("cluster_id", F.coalesce("new_id", "merged_id", "cluster_id"))
     return state.select(
         *fields, "cluster_id",

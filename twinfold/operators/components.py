@@ -9,30 +9,29 @@ from twinfold.operators.joins import join_groups
 from twinfold.session import materialize
 
 
-def _hang(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges with ``m``, the smallest node of ``u`` and its neighbours; and that node per ``u``.
+def _with_smallest(edges: DataFrame, total: int) -> DataFrame:
+    """Edges with ``m``, the smallest node of ``u`` and its neighbours.
 
-    Rows of a node with very many neighbours are salted; the minimum is combined
-    before the shuffle.
+    The minimum is combined before the shuffle, and rows of a node with very many
+    neighbours are salted.
     """
     smallest = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-    return join_groups(edges, smallest, ["u"], "degree"), smallest
+    return join_groups(edges, smallest, ["u"], "degree", total=total)
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hung, _ = _hang(both)
-    return hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    linked = _with_smallest(ends, 2 * total)
+    return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them."""
-    downward = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hung, smallest = _hang(downward)
-    moved = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = smallest.select("u", F.col("m").alias("v"))
-    return moved.unionByName(own).distinct()
+def small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Link a node and its smaller neighbours to the smallest of them; every ``v`` is below its ``u``."""
+    linked = _with_smallest(edges, total)
+    # The row of the smallest neighbour itself carries the link of ``u``.
+    moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return linked.select(moved.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -44,17 +43,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     for _ in range(max_rounds):
-        if _all_stars(current):
+        settled, total = _shape(current)
+        if settled:
             leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
             centres = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return leaves.unionByName(centres)
-        current = materialize(small_star(large_star(current)))
+        current = materialize(small_star(large_star(current, total), total))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _all_stars(edges: DataFrame) -> bool:
-    """True when every ``u`` has one ``v`` and no ``v`` hangs on another node."""
-    below = edges.select(F.col("u").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("held"))
-    above = edges.select(F.col("v").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("held"))
-    roles = below.unionByName(above).groupBy("node").agg(F.sum("links").alias("links"), F.max("held").alias("held"))
-    return roles.where("links > 1 OR (links = 1 AND held = 1)").isEmpty()
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """Whether every ``u`` has one ``v`` and no ``v`` hangs on another node; and the edge count."""
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("held")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("held")),
+    )
+    roles = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(
+        F.sum("e.links").alias("links"), F.max("e.held").alias("held")
+    )
+    broken = F.max((F.col("links") + F.col("held") > 1).cast("int"))
+    row = roles.agg(broken.alias("broken"), F.coalesce(F.sum("links"), F.lit(0)).alias("total")).first()
+    return not row["broken"], row["total"]

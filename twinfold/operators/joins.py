@@ -21,13 +21,17 @@ def join_groups(
     size: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    total: int | None = None,
 ) -> DataFrame:
     """``rows`` joined to ``groups``, which has one row per key and the key's row count in ``size``.
 
     Rows of a hot key get a salt from their own content (so a re-run task gives
     the same rows); the group's single row is repeated once per salt. Rows with a
-    null key match nothing and are spread over all tasks.
+    null key match nothing and are spread over all tasks. ``total`` is a known bound of
+    the number of rows; within ``hot_rows`` no key can be hot and the join is a plain one.
     """
+    if total is not None and total <= hot_rows:
+        return rows.join(groups, keys, how)
     hot = groups.where(F.col(size) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
     content = F.xxhash64(*rows.columns)
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
