@@ -40,7 +40,10 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
 
 
 def read_text_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """A tree ``<folder>/<group>/<name>.txt`` as ``(article_id, group, title, content)``."""
+    """A tree ``<folder>/doc_group<N>/<name>.txt`` as ``(article_id, group, title, content)``.
+
+    Files of length 0 give no row: Spark does not read them.
+    """
     files = (
         spark.read.option("wholetext", True)
         .option("recursiveFileLookup", True)
