@@ -24,14 +24,15 @@ def bucket_rows(texts: DataFrame, *extra: str) -> DataFrame:
 
 
 def bucket_members(rows: DataFrame, total: int | None = None) -> DataFrame:
-    """Rows of buckets with two or more texts, with ``members`` and ``pivot``, the smallest id.
+    """Rows of buckets with two or more texts, with ``members``, the number of texts.
 
-    ``total`` bounds the number of rows. With a boolean ``fresh`` column, only buckets with a fresh text are kept.
+    Buckets are counted first, from numbers alone: most have one text, and their rows
+    end in the join. ``total`` bounds the number of rows. With a boolean ``fresh`` column, only buckets with a fresh text are kept.
     """
     fresh = F.max("fresh") if "fresh" in rows.columns else F.lit(True)
     stats = (
         rows.groupBy("bucket")
-        .agg(F.count("*").alias("members"), F.min("article_id").alias("pivot"), fresh.alias("wanted"))
+        .agg(F.count("*").alias("members"), fresh.alias("wanted"))
         .where("members >= 2 AND wanted")
         .drop("wanted")
     )
@@ -45,7 +46,7 @@ def stored_members(texts: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def pair_columns(rows: DataFrame) -> list[str]:
     """The columns that describe a pair made of two member rows."""
-    names = [c for c in rows.columns if c not in ("bucket", "members", "pivot")]
+    names = [c for c in rows.columns if c not in ("bucket", "members")]
     return [f"{name}_{end}" for name in names for end in "ab"]
 
 
@@ -54,7 +55,7 @@ def bucket_pairs(members: DataFrame, threshold: float = 0.0, chunk: int = CHUNK)
 
     Pairs whose sizes rule ``threshold`` out are left out, and so are pairs without a fresh text.
     """
-    pairs = split_pairs(members.drop("pivot"), ["bucket"], "members", "article_id", chunk)
+    pairs = split_pairs(members, ["bucket"], "members", "article_id", chunk)
     if threshold > 0:
         pairs = pairs.where(sim.size_ratio(F.col("n_shingles_a"), F.col("n_shingles_b")) >= threshold)
     if "fresh" in members.columns:

@@ -72,7 +72,7 @@ class Clustering:
 
 
 def node_results(texts: DataFrame, edges: DataFrame, verify_exact: bool = False) -> DataFrame:
-    """Cluster and score per node: ``(node key, articles, cluster_id, score)``, one row per node.
+    """Cluster and score per clustered node: ``(node key, articles, cluster_id, similarity_score)``.
 
     A node is a group of articles taken as duplicates: equal SimHash, or equal
     text when ``verify_exact``. Groups are contracted before the component search,
@@ -94,16 +94,17 @@ def node_results(texts: DataFrame, edges: DataFrame, verify_exact: bool = False)
         F.struct(F.col(f"{key}_a").alias(key), "score"), F.struct(F.col(f"{key}_b").alias(key), "score")
     )
     best = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy(key).agg(F.max("score").alias("best"))
-    labelled = (
+    # Most nodes are single articles without an edge: they leave here, before the next shuffle.
+    clustered = (
         nodes.join(labels.select(F.col("node").alias(key), "component"), key, "left")
         .join(best, key, "left")
+        .where("best IS NOT NULL OR articles > 1")
         .withColumn("component", F.coalesce("component", key))
     )
-    smallest = labelled.groupBy("component").agg(F.min("root").alias("first_id"))
-    clustered = F.col("best").isNotNull() | (F.col("articles") > 1)
-    return labelled.join(smallest, "component").select(
+    smallest = clustered.groupBy("component").agg(F.min("root").alias("first_id"))
+    return clustered.join(smallest, "component").select(
         key, "articles",
-        F.when(clustered, cluster_name(F.col("first_id"))).alias("cluster_id"),
+        cluster_name(F.col("first_id")).alias("cluster_id"),
         F.when(F.col("articles") > 1, 1.0).otherwise(F.col("best")).alias("similarity_score"),
     )
 
@@ -111,8 +112,7 @@ def node_results(texts: DataFrame, edges: DataFrame, verify_exact: bool = False)
 def assign_clusters(features: DataFrame, nodes: DataFrame) -> DataFrame:
     """Final state per article: matched with cluster and score, or unique with nulls."""
     key = "text_key" if "text_key" in nodes.columns else "simhash"
-    found = nodes.where("cluster_id IS NOT NULL")
-    return join_groups(features, found, [key], "articles", how="left", total=features.count()).withColumn(
+    return join_groups(features, nodes, [key], "articles", how="left", total=features.count()).withColumn(
         "cluster_status", F.when(F.col("cluster_id").isNull(), "unique").otherwise("matched")
     ).drop("articles")
 

@@ -28,10 +28,11 @@ from twinfold.session import materialize
 
 def pivot_pairs(hot: DataFrame) -> DataFrame:
     """Each member of a hot bucket with the bucket's smallest id, as candidate pairs."""
-    values = [c for c in hot.columns if c not in ("bucket", "members", "pivot")]
-    first = hot.where("article_id = pivot").select("bucket", "members", *[F.col(c).alias(f"{c}_a") for c in values])
-    rest = hot.where("article_id <> pivot").select("bucket", *[F.col(c).alias(f"{c}_b") for c in values])
-    pairs = join_groups(rest, first, ["bucket"], "members")
+    values = [c for c in hot.columns if c not in ("bucket", "members")]
+    smallest = hot.groupBy("bucket").agg(F.min(F.struct(*values)).alias("p"), F.first("members").alias("members"))
+    pivots = smallest.select("bucket", "members", *[F.col(f"p.{c}").alias(f"{c}_a") for c in values])
+    rest = hot.select("bucket", *[F.col(c).alias(f"{c}_b") for c in values])
+    pairs = join_groups(rest, pivots, ["bucket"], "members").where("article_id_a <> article_id_b")
     if "fresh" in hot.columns:
         pairs = pairs.where("fresh_a OR fresh_b")
     return pairs.select(*pair_columns(hot)).distinct()
@@ -56,7 +57,7 @@ def open_pairs(hot: DataFrame, labels: DataFrame, articles: DataFrame, params: P
 
     ``labels(article_id, label)`` gives the component of each hot member so far.
     """
-    values = [c for c in hot.columns if c not in ("bucket", "members", "pivot")]
+    values = [c for c in hot.columns if c not in ("bucket", "members")]
     member = hot.groupBy(*values).agg(F.collect_set("bucket").alias("buckets"))
     member = materialize(
         member.join(labels, "article_id", "left").withColumn("label", F.coalesce("label", "article_id"))

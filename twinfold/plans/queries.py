@@ -588,4 +588,4 @@ def cluster_consistency(spark, sf_dir):
 
 @query
 def title_self_search(spark, sf_dir):
-    return reports.title_self_search(assigned(spark, sf_dir))
+    return reports.title_self_search(articles(spark, sf_dir))

@@ -27,7 +27,7 @@ from twinfold.operators.features import extract_features, text_groups
 from twinfold.operators.joins import join_groups, keep_ids
 from twinfold.params import DEFAULT, Params
 from twinfold.schemas import ARTICLE
-from twinfold.session import materialize
+from twinfold.session import materialize, scratch
 from twinfold.sources.articles import validate_articles
 from twinfold.sources.tables import latest_per_key
 
@@ -77,6 +77,10 @@ class IncrementalClusters:
 
     def apply(self, incoming: DataFrame, batch: int) -> None:
         """Cluster one batch; the last copy of a repeated id counts."""
+        with scratch(self.spark):
+            self._apply(incoming, batch)
+
+    def _apply(self, incoming: DataFrame, batch: int) -> None:
         valid, _ = validate_articles(incoming.select(*ARTICLE.names))
         order = [F.desc("publish_time"), F.xxhash64("title", "content")]
         latest = materialize(latest_per_key(valid, "article_id", order))
@@ -93,7 +97,7 @@ class IncrementalClusters:
             texts.groupBy("simhash").agg(F.min("article_id").alias("root"), F.sum("copies").alias("articles"))
         )
         earlier = self._earlier(groups, batch)
-        edges = materialize(self._edges(texts, groups, articles, batch))
+        edges = self._edges(texts, articles, batch)
         self._label(features, groups, earlier, edges, batch)
         seen = keep_ids(self.table("texts", batch).select("text_key"), texts, "text_key")
         self._write("texts", batch, texts.join(seen, "text_key", "left_anti"))
@@ -106,7 +110,7 @@ class IncrementalClusters:
         )
         return materialize(self._present(hits, batch))
 
-    def _edges(self, texts: DataFrame, groups: DataFrame, articles: DataFrame, batch: int) -> DataFrame:
+    def _edges(self, texts: DataFrame, articles: DataFrame, batch: int) -> DataFrame:
         """Verified pairs with at least one text of this batch."""
         fresh = texts.select("*", F.lit(True).alias("fresh"), F.lit(batch).alias("batch"))
         rows = cand.bucket_rows(fresh, "fresh", "batch")
@@ -134,14 +138,14 @@ class IncrementalClusters:
         new_node = end.where("fresh").join(groups, "simhash").select("article_id", F.col("root").alias("node"))
         old_label = keep_ids(self.table("features", batch).drop("batch"), materialize(end.where("NOT fresh").select("article_id")))
         old_node = self._present(old_label, batch).select("article_id", F.col("label").alias("node"))
-        node = materialize(new_node.unionByName(old_node))
+        node = new_node.unionByName(old_node)
         across = (
             edges.join(node.select(F.col("article_id").alias("article_id_a"), F.col("node").alias("u")), "article_id_a")
             .join(node.select(F.col("article_id").alias("article_id_b"), F.col("node").alias("v")), "article_id_b")
             .select("u", "v")
         )
         same = groups.join(earlier, "simhash").select(F.col("root").alias("u"), F.col("label").alias("v"))
-        labels = materialize(connected_components(across.unionByName(same)))
+        labels = connected_components(across.unionByName(same))
 
         named = groups.join(labels, groups["root"] == labels["node"], "left").select(
             "simhash", "articles", F.coalesce("component", "root").alias("label")
