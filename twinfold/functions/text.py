@@ -53,12 +53,13 @@ def sanitize_text(text: Column, max_length: int = MAX_TEXT) -> Column:
 
 def derive_title(text: Column, fallback: Column) -> Column:
     """First non-blank line, shortened to 117 characters and ``...`` when over 120."""
-    line = F.regexp_extract(F.ltrim(text, F.lit(WHITESPACE)), f"^[^{LINE_ENDS}]*", 0)
-    line = strip(line)
-    line = F.when(line == "", fallback).otherwise(line)
-    return F.when(
-        F.length(line) > MAX_TITLE, F.concat(F.substring(line, 1, CUT_TITLE), F.lit("..."))
-    ).otherwise(line)
+    line = strip(F.regexp_extract(F.ltrim(text, F.lit(WHITESPACE)), f"^[^{LINE_ENDS}]*", 0))
+
+    def shorten(title: Column) -> Column:
+        return F.when(F.length(title) > MAX_TITLE, F.concat(F.substring(title, 1, CUT_TITLE), F.lit("..."))).otherwise(title)
+
+    # A one-element array binds the line to a name, so that the text is searched once.
+    return F.get(F.transform(F.array(line), lambda l: shorten(F.when(l == "", fallback).otherwise(l))), F.lit(0))
 
 
 def normalize_source(source: Column) -> Column:

@@ -210,19 +210,24 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     their score unless a better one is found. ``assigned`` must be stored.
     """
     fields = ["article_id", "text_key", "simhash", "n_shingles", "buckets"]
-    fresh = extract_features(keep_ids(articles, ids), params).select(
-        *fields, F.lit(None).cast("string").alias("cluster_id"), F.lit(None).cast("double").alias("similarity_score"),
-        F.lit(True).alias("again"),
+    fresh = materialize(extract_features(keep_ids(articles, ids), params).select(*fields))
+    kept = assigned.join(ids.select("article_id"), "article_id", "left_anti").select(
+        *fields, "cluster_id", "similarity_score"
     )
-    kept = assigned.join(ids, "article_id", "left_anti").select(
-        *fields, "cluster_id", "similarity_score", F.lit(False).alias("again")
+    # Only articles that share a bucket with a rechecked one can be concerned.
+    wanted = materialize(fresh.select(F.explode("buckets").alias("bucket")).distinct())
+    near = keep_ids(kept.select(F.explode("buckets").alias("bucket"), "article_id"), wanted, "bucket")
+    near_rows = keep_ids(kept, materialize(near.select("article_id").distinct()))
+    rows = materialize(
+        fresh.select(
+            *fields, F.lit(None).cast("string").alias("cluster_id"), F.lit(None).cast("double").alias("similarity_score"),
+            F.lit(True).alias("again"),
+        ).unionByName(near_rows.withColumn("again", F.lit(False)))
     )
-    rows = materialize(fresh.unionByName(kept))
-    # Texts of rechecked articles, and what they are verified against.
-    active = rows.groupBy("text_key").agg(F.max("again").alias("fresh"))
-    texts = materialize(text_groups(rows).where("n_shingles > 0").join(active, "text_key"))
-    by_cluster = kept.where("cluster_id IS NOT NULL").select(F.col("article_id").alias("u"), F.col("cluster_id").alias("v"))
     total = rows.count()
+    again = rows.groupBy("text_key").agg(F.max("again").alias("fresh"))
+    texts = materialize(text_groups(rows).where("n_shingles > 0").join(again, "text_key"))
+    by_cluster = near_rows.where("cluster_id IS NOT NULL").select(F.col("article_id").alias("u"), F.col("cluster_id").alias("v"))
     edges = verified_edges(cand.bucket_rows(texts, "fresh"), articles, params, by_cluster, total * params.bands)
     ends = F.array(
         F.struct(F.col("article_id_a").alias("article_id"), "score"),
@@ -238,9 +243,9 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     # Components over texts, existing clusters and single articles. Names of existing
     # clusters sort before "~", so a merged component takes the smallest of them.
     member = F.coalesce("cluster_id", F.concat(F.lit("~"), F.col("article_id")))
-    in_texts = join_groups(rows, touched, ["text_key"], "copies", total=total).withColumn("member", member)
+    in_texts = join_groups(rows, touched, ["text_key"], "copies", total=total)
     text_node = F.concat(F.lit("~~"), F.col("text_id"))
-    links = in_texts.select(text_node.alias("u"), F.col("member").alias("v")).distinct()
+    links = in_texts.select(text_node.alias("u"), member.alias("v")).distinct()
     across = edges.select(
         F.concat(F.lit("~~"), F.col("article_id_a")).alias("u"), F.concat(F.lit("~~"), F.col("article_id_b")).alias("v")
     )
@@ -252,13 +257,21 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     )
     named = materialize(labels.join(names, "component").select("node", "new_id"))
     by_text = touched.join(named, text_node == F.col("node")).select("text_key", "copies", "best", "new_id")
-    merged = named.where("node <> new_id AND NOT startswith(node, '~')").select(
-        F.col("node").alias("cluster_id"), F.col("new_id").alias("merged_id")
+    found = materialize(
+        join_groups(rows, by_text, ["text_key"], "copies", total=total).select("article_id", "best", "new_id")
     )
-    merged = rows.groupBy("cluster_id").agg(F.count("*").alias("size")).join(merged, "cluster_id")
-    state = join_groups(rows, by_text, ["text_key"], "copies", how="left", total=total)
-    state = join_groups(state, merged, ["cluster_id"], "size", how="left", total=total)
-    state = state.withColumn("cluster_id", F.coalesce("new_id", "merged_id", "cluster_id"))
+    merged = materialize(
+        named.where("node <> new_id AND NOT startswith(node, '~')").select(
+            F.col("node").alias("cluster_id"), F.col("new_id").alias("merged_id")
+        )
+    )
+    sizes = keep_ids(kept, merged, "cluster_id").groupBy("cluster_id").agg(F.count("*").alias("size"))
+    renamed = materialize(merged.join(sizes, "cluster_id"))
+    empty = [F.lit(None).cast("string").alias("cluster_id"), F.lit(None).cast("double").alias("similarity_score")]
+    state = join_groups(kept, renamed, ["cluster_id"], "size", how="left").drop("size").unionByName(
+        fresh.select(*fields, *empty, F.lit(None).cast("string").alias("merged_id"))
+    )
+    state = state.join(found, "article_id", "left").withColumn("cluster_id", F.coalesce("new_id", "merged_id", "cluster_id"))
     return state.select(
         *fields, "cluster_id",
         F.when(F.col("cluster_id").isNull(), "unique").otherwise("matched").alias("cluster_status"),

@@ -8,10 +8,9 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over SALTS tasks. No more than
-# (all rows / HOT_ROWS) keys can be that large, so their list can be broadcast.
+# A key with more rows than this is cut into pieces of about this many rows. No more
+# than (all rows / HOT_ROWS) keys can be that large, so their list can be broadcast.
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
 def join_groups(
@@ -26,19 +25,20 @@ def join_groups(
     """``rows`` joined to ``groups``, which has one row per key and the key's row count in ``size``.
 
     Rows of a hot key get a salt from their own content (so a re-run task gives
-    the same rows); the group's single row is repeated once per salt. Rows with a
+    the same rows), one salt per ``hot_rows`` rows; the group's single row is repeated
+    once per salt. Rows with a
     null key match nothing and are spread over all tasks. ``total`` is a known bound of
     the number of rows; within ``hot_rows`` no key can be hot and the join is a plain one.
     """
     if total is not None and total <= hot_rows:
         return rows.join(groups, keys, how)
-    hot = groups.where(F.col(size) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    salts = F.ceil(F.col(size) / F.lit(hot_rows)).cast("int")
+    hot = groups.where(F.col(size) > hot_rows).select(*keys, salts.alias("_salts"))
     content = F.xxhash64(*rows.columns)
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    salt = F.when(no_key, F.pmod(content, F.lit(1 << 20))).when(F.col("_hot"), F.pmod(content, F.lit(SALTS))).otherwise(0)
-    copies = F.when(F.col(size) > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-    salted_groups = groups.withColumn("_salt", F.explode(copies))
+    salt = F.when(no_key, F.pmod(content, F.lit(1 << 20))).otherwise(F.pmod(content, F.coalesce("_salts", F.lit(1))))
+    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    salted_groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
     return salted_rows.join(salted_groups, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.operators.joins import join_groups
+from twinfold.session import materialize
 
 # Fixed value: members read per cluster.
 MEMBERS = 100
@@ -42,7 +43,7 @@ def similar_articles(articles: DataFrame, size: int = MEMBERS) -> DataFrame:
     lists = cluster_members(articles, size).groupBy("cluster_id").agg(F.array_sort(F.collect_list(item)).alias("members"))
     sizes = articles.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.count("*").alias("size"))
     ready = articles.where("cluster_id IS NOT NULL AND cluster_status <> 'pending'").select("article_id", "cluster_id")
-    each = join_groups(ready, lists.join(sizes, "cluster_id"), ["cluster_id"], "size")
+    each = join_groups(ready, materialize(lists.join(sizes, "cluster_id")), ["cluster_id"], "size")
     others = F.filter("members", lambda m: m["similar_id"] != F.col("article_id"))
     rows = each.select("article_id", "cluster_id", F.posexplode(others).alias("pos", "m"))
     return rows.select(

@@ -45,10 +45,9 @@ def read_text_groups(spark: SparkSession, folder: str) -> DataFrame:
     Files of length 0 give no row: Spark does not read them.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.txt")
-        .text(folder)
+        .text(folder, wholetext=True)
         .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
     )
     group = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
