@@ -59,6 +59,14 @@ def test_candidates_of_distinct_texts(texts):
     assert found == expected
 
 
+def test_bands_find_nearly_all_similar_pairs():
+    sets = {key: brute.shingles(text) for key, text in TEXTS.items()}
+    keys = sorted(k for k in sets if sets[k])
+    similar = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if brute.jaccard(sets[a], sets[b]) >= 0.8}
+    found = similar & set(brute.candidates(TEXTS))
+    assert len(similar) > 500 and len(found) / len(similar) > 0.99
+
+
 def test_buckets_cut_into_chunks_give_the_same_pairs(texts):
     members = materialize(cand.bucket_members(cand.bucket_rows(texts)))
     whole = cand.candidate_pairs(members, chunk=10_000)

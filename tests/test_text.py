@@ -90,6 +90,18 @@ def test_shingles_of_very_many_characters():
     assert {pieces[i] for i in owned[1]} == {"abcde", "bcdef"} and len(owned[2]) == 0
 
 
+def test_fingerprints_run_without_the_package(tmp_path):
+    """Workers need not have the package: the functions must not be pickled by name."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "blob").write_bytes(cloudpickle.dumps((fp.minhashes, fp.simhash_value, fp.band_hashes)))
+    code = "from pyspark import cloudpickle; cloudpickle.load(open('blob', 'rb'))"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
+
+
 def test_simhash(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "|", "ünï", "新闻"]

@@ -16,7 +16,6 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -43,8 +42,8 @@ def _low(text: str, size: int) -> int:
     return int.from_bytes(md5(text.encode()).digest()[-size:], "big")
 
 
-@lru_cache(maxsize=8)
 def coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers a_i and b_i; computed where the plan is made, and sent along with it."""
     a = [1 + _low(f"{PREFIX_A}{i}", 4) % (PRIME - 1) for i in range(count)]
     b = [_low(f"{PREFIX_B}{i}", 4) % PRIME for i in range(count)]
     return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
@@ -101,11 +100,10 @@ def shingle_index(texts: list[str], size: int) -> tuple[list[str], list[np.ndarr
     return pieces, [np.searchsorted(every, keys) for keys in own]
 
 
-def permuted(hashes: np.ndarray, count: int) -> np.ndarray:
+def permuted(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row per hash, column per permutation."""
-    a, b = coefficients(count)
     p = np.uint64(PRIME)
-    table = np.empty((len(hashes), count), dtype=np.uint32)
+    table = np.empty((len(hashes), len(a)), dtype=np.uint32)
     for start in range(0, len(hashes), _BLOCK):
         values = hashes[start : start + _BLOCK, None] * a
         values += b
@@ -116,11 +114,13 @@ def permuted(hashes: np.ndarray, count: int) -> np.ndarray:
     return table
 
 
-def minhashes(texts: pd.Series, size: int, count: int, cache: dict) -> Iterator[tuple[int, np.ndarray | None]]:
+def minhashes(
+    texts: pd.Series, size: int, a: np.ndarray, b: np.ndarray, cache: dict
+) -> Iterator[tuple[int, np.ndarray | None]]:
     """Number of distinct shingles and MinHash values of each text; None without shingles."""
     for group in groups_of(texts):
         pieces, owned = shingle_index(group, size)
-        table = permuted(_hashes(pieces, 4, cache) % np.uint64(PRIME), count)
+        table = permuted(_hashes(pieces, 4, cache) % np.uint64(PRIME), a, b)
         for rows in owned:
             yield len(rows), table[rows].min(axis=0) if len(rows) else None
 
@@ -145,13 +145,14 @@ def simhash_value(tokens: list[str], cache: dict) -> int:
 
 def fingerprint(normalized: Column, params: Params = DEFAULT) -> Column:
     """struct(simhash, n_shingles, buckets) of normalised text; no buckets without shingles."""
-    size, rows, count = params.shingle_size, params.rows, params.permutations
+    size, rows = params.shingle_size, params.rows
+    a, b = coefficients(params.permutations)
     shingle_cache: dict = {}
     token_cache: dict = {}
 
     @F.pandas_udf("simhash bigint, n_shingles int, buckets array<bigint>")
     def features(texts: pd.Series) -> pd.DataFrame:
-        hashed = list(minhashes(texts, size, count, shingle_cache))
+        hashed = list(minhashes(texts, size, a, b, shingle_cache))
         return pd.DataFrame(
             {
                 "simhash": [simhash_value(text.split(), token_cache) for text in texts],
@@ -175,12 +176,13 @@ def simhash(normalized: Column) -> Column:
 
 def minhash(normalized: Column, params: Params = DEFAULT) -> Column:
     """All MinHash values of a text as an array; empty without shingles."""
-    size, count = params.shingle_size, params.permutations
+    size = params.shingle_size
+    a, b = coefficients(params.permutations)
     cache: dict = {}
 
     @F.pandas_udf("array<bigint>")
     def value(texts: pd.Series) -> pd.Series:
-        hashed = minhashes(texts, size, count, cache)
+        hashed = minhashes(texts, size, a, b, cache)
         return pd.Series([values.astype(np.int64) if n else [] for n, values in hashed], dtype=object)
 
     return value(normalized)

@@ -156,16 +156,14 @@ def lsh_topk(features: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
     own = keys.where("n_bands > 0 and copies > 1").select(
         "article_id", F.col("article_id").alias("other_id"), F.col("n_bands").cast("bigint").alias("shared_bands")
     )
-    links = near.unionByName(own)
-    # Keep per text only the k + 1 best partner ids, then hand the list to each of its copies.
-    partners = keys.select(F.col("article_id").alias("other_id"), F.col("text_key").alias("other_key"))
-    listed = (
-        links.join(partners, "other_id")
-        .join(
-            first_ids(features, k + 1).select(F.col("text_key").alias("other_key"), F.col("article_id").alias("candidate_id")),
-            "other_key",
-        )
-        .select("article_id", "candidate_id", "shared_bands")
+    links = materialize(near.unionByName(own))
+    first = first_ids(features, k + 1).groupBy("text_key").agg(F.collect_list("article_id").alias("ids"))
+    degree = links.groupBy("other_id").agg(F.count("*").alias("degree"))
+    partners = materialize(
+        keys.select(F.col("article_id").alias("other_id"), "text_key").join(degree, "other_id").join(first, "text_key").drop("text_key")
+    )
+    listed = join_groups(links, partners, ["other_id"], "degree").select(
+        "article_id", F.explode("ids").alias("candidate_id"), "shared_bands"
     )
     best = Window.partitionBy("article_id").orderBy(F.desc("shared_bands"), "candidate_id")
     short = listed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
