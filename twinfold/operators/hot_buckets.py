@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from twinfold.functions import similarity as sim
 from twinfold.operators.candidates import CHUNK, pair_columns
 from twinfold.operators.features import with_normalized
-from twinfold.operators.joins import join_groups, keep_ids, split_pairs
+from twinfold.operators.joins import join_groups, keep_ids
 from twinfold.params import Params
 from twinfold.session import materialize
 
@@ -73,19 +73,36 @@ def open_pairs(hot: DataFrame, labels: DataFrame, articles: DataFrame, params: P
         join_groups(hot.select("bucket", "article_id"), mixed, ["bucket"], "members").select("article_id").distinct()
     )
     rare = rare_shingles(articles, unsettled, params).join(member, "article_id")
+    # Only pairs across components: of each shingle's holders, those outside its largest
+    # component against all, in chunks of holders.
     groups = (
-        rare.groupBy("shingle")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders"))
-        .where("low <> high")
-        .select("shingle", "holders")
+        rare.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+        .groupBy("shingle")
+        .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("holders"), F.count("*").alias("labels"))
+        .where("labels > 1")
+        .select("shingle", "holders", F.col("top.label").alias("main"))
     )
     shared = materialize(join_groups(rare, groups, ["shingle"], "holders"))
+    carried = [*values, "label", "buckets"]
+    chunks = F.ceil(F.col("holders") / F.lit(CHUNK)).cast("int")
+    outside = shared.where("label <> main").select(
+        "shingle", "main", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_c"), *[F.col(c).alias(f"{c}_x") for c in carried]
+    )
+    holders = shared.select(
+        "shingle", F.pmod(F.xxhash64("article_id"), chunks).cast("int").alias("_c"), *[F.col(c).alias(f"{c}_y") for c in carried]
+    )
     pairs = (
-        split_pairs(shared, ["shingle"], "holders", "article_id", CHUNK)
-        .where("label_a <> label_b")
-        .where(sim.size_ratio(F.col("n_shingles_a"), F.col("n_shingles_b")) >= params.threshold)
-        .where(F.arrays_overlap("buckets_a", "buckets_b"))
+        outside.join(holders, ["shingle", "_c"])
+        .where("label_x <> label_y AND (label_y = main OR article_id_x < article_id_y)")
+        .where(sim.size_ratio(F.col("n_shingles_x"), F.col("n_shingles_y")) >= params.threshold)
+        .where(F.arrays_overlap("buckets_x", "buckets_y"))
     )
+    swap = F.col("article_id_x") > F.col("article_id_y")
+    ordered = [
+        F.when(swap, F.col(f"{c}_{two}")).otherwise(F.col(f"{c}_{one}")).alias(f"{c}_{end}")
+        for c in values for end, one, two in (("a", "x", "y"), ("b", "y", "x"))
+    ]
+    pairs = pairs.select(*ordered)
     if "fresh" in hot.columns:
         pairs = pairs.where("fresh_a OR fresh_b")
     return pairs.select(*pair_columns(hot)).distinct()
