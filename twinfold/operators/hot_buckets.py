@@ -72,7 +72,7 @@ def open_pairs(hot: DataFrame, labels: DataFrame, articles: DataFrame, params: P
     unsettled = materialize(
         join_groups(hot.select("bucket", "article_id"), mixed, ["bucket"], "members").select("article_id").distinct()
     )
-    rare = rare_shingles(articles, unsettled, params).join(member, "article_id")
+    rare = materialize(rare_shingles(articles, unsettled, params).join(member, "article_id"))
     # Only pairs across components: of each shingle's holders, those outside its largest
     # component against all, in chunks of holders.
     groups = (
