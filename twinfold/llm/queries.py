@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import chat_format, grouping_packer, simhash_blocks, simple8b, trie_bpe
+from twinfold.llm import chat_format, grouping_packer, int8_dedup, one_bit_search, simhash_blocks, simple8b, trie_bpe
 from twinfold.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ END_ID = 2
 SEQUENCE = 1024
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return int8_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     files = simple8b.write_ids(docs, public_tokenizers.path(WORD_BPE), END_ID)
@@ -28,6 +32,10 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return one_bit_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_blocks.near_duplicates(table(spark, folder, "documents"))
 
@@ -50,6 +58,6 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op3_token_files, op6_best_fit_packing, op8_simhash_near_dedup, op9_bpe_round_trip, op10_chat_formatting,
+        op2_embedding_near_dedup, op3_token_files, op6_best_fit_packing, op7_nearest_neighbours, op8_simhash_near_dedup, op9_bpe_round_trip, op10_chat_formatting,
     )
 }
