@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 import pandas as pd
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def share(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast an object of this package's classes, which workers need not have installed."""
+    return spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+
+def shared(sent: Broadcast) -> Any:
+    """The object in a task. It lives as long as the worker, so what it remembers serves later tasks too."""
+    holder = sent.value
+    if isinstance(holder[0], bytes):
+        holder[0] = pickle.loads(holder[0])
+    return holder[0]
+
+
 def as_bytes(texts: pd.Series) -> Iterator[bytes]:
     """UTF-8 of each text; null is empty."""
     for text in texts:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import small_batches
+from twinfold.llm.common import share, shared, small_batches
 from twinfold.llm.tokens import Tokens, blocks
 from twinfold.session import materialize
 
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``; ``path`` is the tokenizer's file, read where the plan is made."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(Tokens(path))
+    sent = share(spark, Tokens(path))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             doc_ids = batch.column("doc_id").to_pylist()
             rows = []
-            for at, ids, lengths in blocks(shared.value, texts, end, _RUN):
+            for at, ids, lengths in blocks(shared(sent), texts, end, _RUN):
                 ids, begin = ids.astype("<u4"), 0
                 for k, total in enumerate(lengths.tolist()):
                     for number, (start, length) in enumerate(cut(total, capacity)):

@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import chat_format, grouping_packer, int8_dedup, one_bit_search, simhash_blocks, simple8b, trie_bpe
-from twinfold.llm.common import table
+from twinfold.llm import chat_format, context_mixing, grouping_packer, int8_dedup, one_bit_search, ppm_language, simhash_blocks, simple8b
+from twinfold.llm import toxic_segments, trie_bpe
+from twinfold.llm.common import fold, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 END_ID = 2
 SEQUENCE = 1024
 
 
+def op1_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.score(table(spark, folder, "documents"), fold(F.col("doc_id"), 5, 1))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return int8_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -26,6 +31,19 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return simple8b.read_ids(spark, files, digest=True)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", fold(F.col("doc_id"), 4, 2))
+    model = toxic_segments.learn(docs.where(~F.col("held_out")), table(spark, folder, "labels"))
+    scored = docs.select("doc_id", "held_out", toxic_segments.toxicity(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxic_segments.THRESHOLD).cast("int"))
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", fold(F.col("doc_id"), 4, 2))
+    trees = ppm_language.learn(docs.where(~F.col("held_out")))
+    return docs.select("doc_id", "held_out", ppm_language.language(docs, trees).alias("p")).select("doc_id", "held_out", "p.*")
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return grouping_packer.pack_documents(
         table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), END_ID, SEQUENCE
@@ -58,6 +76,6 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_embedding_near_dedup, op3_token_files, op6_best_fit_packing, op7_nearest_neighbours, op8_simhash_near_dedup, op9_bpe_round_trip, op10_chat_formatting,
+        op1_context_mixing, op2_embedding_near_dedup, op3_token_files, op4_toxicity, op5_language_id, op6_best_fit_packing, op7_nearest_neighbours, op8_simhash_near_dedup, op9_bpe_round_trip, op10_chat_formatting,
     )
 }

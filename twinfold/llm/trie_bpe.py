@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import as_bytes, grouped, small_batches
+from twinfold.llm.common import as_bytes, grouped, share, shared, small_batches
 
 _BLOCK = 4_000_000  # bytes of text whose words are inserted together
 _KEEP = 400_000  # words remembered per task
@@ -293,11 +293,11 @@ def _coder(docs: DataFrame, path: str, schema: str, finish):
     small_batches(spark)
     with open(path, encoding="utf-8") as file:
         definition = file.read()
-    shared = spark.sparkContext.broadcast(Shared(definition))
+    sent = share(spark, Shared(definition))
 
     @F.pandas_udf(schema)
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = shared.value.encoder()
+        encoder = shared(sent).encoder()
         for texts in batches:
             whole = list(as_bytes(texts))
             rows = []
