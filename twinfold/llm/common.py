@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,12 @@ def shared(sent: Broadcast) -> Any:
     return holder[0]
 
 
+def columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """A bounded result on the driver, as arrays without an object per row."""
+    rows = df.toArrow()
+    return {c: rows[c].to_numpy() for c in rows.column_names}
+
+
 def as_bytes(texts: pd.Series) -> Iterator[bytes]:
     """UTF-8 of each text; null is empty."""
     for text in texts:

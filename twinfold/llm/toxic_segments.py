@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import as_bytes, share, shared, small_batches
+from twinfold.llm.common import as_bytes, columns, share, shared, small_batches
 from twinfold.session import materialize
 
 SAMPLE = 4000  # labelled texts per class that are learned from
@@ -195,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pd.DataFrame({"h": used, "clean": sums[0, used], "toxic": sums[1, used]})
 
     counts = chosen.coalesce(16).mapInPandas(count, "h long, clean long, toxic long")
-    summed = counts.groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    summed = columns(counts.groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     clean, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
     clean[summed["h"]], toxic[summed["h"]] = summed["clean"], summed["toxic"]
     model = Model(shrunk_odds(toxic, clean).astype(np.float32))
