@@ -37,7 +37,7 @@ EPSILON = 3.5
 SEED = 7
 _BLOCK = 4096  # vectors of an index block
 _QUERIES = 1024  # queries of a query block
-_STRIP = 128  # queries estimated at a time
+_STRIP = 64  # queries estimated at a time
 
 _BLOCK_SCHEMA = "block long, size int, vec_ids array<long>, codes binary, scalars binary, originals binary"
 
@@ -105,7 +105,9 @@ def best_of_block(queries: tuple, block: tuple, k: int, epsilon: float) -> tuple
     query_ids, query_rows = queries
     ids, codes, scalars, rows = block
     size = rows.shape[1]
-    turned = (unit_rows(query_rows) @ rotation(size)).astype(np.float32)
+    unit_queries, units = unit_rows(query_rows), unit_rows(rows).astype(np.float32)
+    turned = (unit_queries @ rotation(size)).astype(np.float32)
+    unit_queries = unit_queries.astype(np.float32)
     signs = (np.unpackbits(codes, axis=1, count=size).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(size))
     scale = (1 / scalars).astype(np.float32)
     slack = (epsilon * np.sqrt(np.maximum(1 / scalars**2 - 1, 0)) / math.sqrt(max(size - 1, 1)) + 1e-5).astype(np.float32)
@@ -123,6 +125,9 @@ def best_of_block(queries: tuple, block: tuple, k: int, epsilon: float) -> tuple
         exact[np.take_along_axis(own, likely, axis=1)] = -np.inf
         least = np.sort(exact, axis=1)[:, max(some - k, 0)] if some >= k else np.full(n, -np.inf)
         q, v = np.nonzero((guess + slack >= least[:, None].astype(np.float32) - np.float32(1e-5)) & ~own)
+        # In single precision first; what may still be among the best is computed exactly.
+        close = np.einsum("ij,ij->i", unit_queries[strip][q], units[v]) >= least[q] - 1e-5
+        q, v = q[close], v[close]
         score = cosines(query_rows[strip][q], rows[v])
         better = score >= least[q]
         found.append((q[better] + at, v[better], score[better]))
