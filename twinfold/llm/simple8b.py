@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import small_batches
+from twinfold.llm.common import share, shared, small_batches
 from twinfold.llm.tokens import Tokens, blocks
 from twinfold.session import shared_folder
 
@@ -35,7 +35,7 @@ BLOCK = 256
 # Ids per word and bits per id of each selector. Selector 0 is the escape.
 COUNTS = np.array([1, 240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2])
 WIDTHS = np.array([64, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30])
-WIDE_ONE = 60  # one id of up to 60 bits is written with selector 0 too, as an escape
+_MOST = 60  # ids in a word that has payload
 
 _RUN = 1_000_000  # bytes of text per file row
 
@@ -57,50 +57,53 @@ _SMALL = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value."""
-    widths = np.zeros(values.shape, dtype=np.uint8)
-    for shift in range(0, 64, 16):
-        part = values >> np.uint64(shift)
-        if shift and not part.any():
+    widths = _SMALL[(values & values.dtype.type(0xFFFF)).astype(np.uint16)]
+    for shift in range(16, 8 * values.dtype.itemsize, 16):
+        part = values >> values.dtype.type(shift)
+        if not part.any():
             break
-        own = _SMALL[part & np.uint64(0xFFFF)]
+        own = _SMALL[(part & values.dtype.type(0xFFFF)).astype(np.uint16)]
         widths = np.where(own > 0, own + np.uint8(shift), widths)
     return widths
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(words, word_offsets, escape_offsets, escapes)`` of ids below 2^64."""
-    ids = ids.astype(np.uint64, copy=False)
     n_blocks = -(-len(ids) // BLOCK)
-    grid = np.zeros((n_blocks, BLOCK), dtype=np.uint64)
-    grid.ravel()[: len(ids)] = ids
-    widths = _widths(grid)
+    # Zeros follow every block, so that a word that passes its end holds padding.
+    wide = np.uint32 if not len(ids) or int(ids.max()) < 1 << 32 else np.uint64
+    grid = np.zeros((n_blocks, BLOCK + _MOST), dtype=wide)
+    full = len(ids) // BLOCK
+    grid[:full, :BLOCK] = ids[: full * BLOCK].reshape(-1, BLOCK)
+    grid[full:, : len(ids) - full * BLOCK] = ids[full * BLOCK :]
+    widths = _widths(grid[:, :BLOCK])
     # The selector of each position: the one with most ids whose width suffices.
-    choice = np.zeros(grid.shape, dtype=np.uint8)
+    choice = np.zeros(widths.shape, dtype=np.uint8)
     for selector in range(len(COUNTS) - 1, 0, -1):
         fits = _window_max(widths, int(COUNTS[selector])) <= WIDTHS[selector]
         if not fits.any():
             break
-        choice[fits] = selector
+        np.copyto(choice, np.uint8(selector), where=fits)
     # All blocks go on from word to word together.
-    taken = np.zeros(grid.shape, dtype=bool)
-    at = np.zeros(n_blocks, dtype=np.int64)
-    rows = np.arange(n_blocks)
-    while len(rows):
-        taken[rows, at[rows]] = True
-        at[rows] += COUNTS[choice[rows, at[rows]]]
-        rows = rows[at[rows] < BLOCK]
+    taken = np.zeros(choice.size, dtype=bool)
+    rows = np.arange(n_blocks) * BLOCK
+    at, ends, picks = rows.copy(), rows + BLOCK, choice.ravel()
+    while len(at):
+        taken[at] = True
+        at = at + COUNTS[picks[at]]
+        going = at < ends
+        at, ends = at[going], ends[going]
     begin = np.flatnonzero(taken)
-    selectors = choice.ravel()[begin]
+    selectors = picks[begin]
     words = selectors.astype(np.uint64) << np.uint64(60)
-    flat = np.r_[grid.ravel(), np.zeros(BLOCK, dtype=np.uint64)]
+    flat, place = grid.ravel(), begin + begin // BLOCK * _MOST
     for selector in range(3, len(COUNTS)):
         chosen = np.flatnonzero(selectors == selector)
         if len(chosen):
-            within = begin[chosen] % BLOCK
+            first, payload = place[chosen], np.zeros(len(chosen), dtype=np.uint64)
             for i in range(COUNTS[selector]):
-                inside = within + i < BLOCK
-                value = np.where(inside, flat[begin[chosen] + i], np.uint64(0))
-                words[chosen] |= value << np.uint64(i * WIDTHS[selector])
+                payload |= flat[first + i].astype(np.uint64) << np.uint64(i * WIDTHS[selector])
+            words[chosen] |= payload
     block_of = begin // BLOCK
     escaped = selectors == 0
     per_block = np.bincount(block_of, minlength=n_blocks)
@@ -109,7 +112,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         words,
         (np.cumsum(per_block) - per_block).astype(np.uint32),
         (np.cumsum(escapes_per_block) - escapes_per_block).astype(np.uint32),
-        grid.ravel()[begin[escaped]],
+        flat[place[escaped]].astype(np.uint64),
     )
 
 
@@ -155,7 +158,7 @@ def write_ids(docs: DataFrame, path: str, end: int, folder: str | None = None) -
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = folder or f"{shared_folder(spark)}/twinfold/ids-{uuid.uuid4().hex}"
-    shared = spark.sparkContext.broadcast(Tokens(path))
+    sent = share(spark, Tokens(path))
     text = F.coalesce(F.col("text"), F.lit(""))
     # The hash deals out rows that share one id; it never changes the order of different ids.
     ordered = (
@@ -169,7 +172,7 @@ def write_ids(docs: DataFrame, path: str, end: int, folder: str | None = None) -
         part, first = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for at, ids, lengths in blocks(shared.value, texts, end, _RUN):
+            for at, ids, lengths in blocks(shared(sent), texts, end, _RUN):
                 packed = pack(ids)
                 row = [
                     pa.array([part], type=pa.int32()),

@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-_KEEP = 500_000  # cuts remembered per worker
+_KEEP = 1_200_000  # cuts remembered per worker
 
 # Characters that are white space for one side only, or whose class has changed: such texts go to the library whole.
 _UNSURE = re.compile("[\x1c-\x1f\x85᠎]")
@@ -26,7 +26,7 @@ _DOUBLE = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ", b"\xc2\xa0 ")
 _UNSURE_BYTES = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xe1\xa0\x8e")
 # First bytes of keys that no UTF-8 text begins with: a cut as it is, and a single id.
 _AS_IS, _SINGLE = b"\xfe", b"\xff"
-_JOINED = 2000  # cuts encoded in one call
+_JOINED = 20_000  # cuts encoded in one call
 _LEADS = (b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
 
@@ -76,7 +76,7 @@ class Tokens:
         safe = [(i, t) for i, t in texts if mark and "<|" not in t]
         for at in range(0, len(safe), _JOINED):
             part = safe[at : at + _JOINED]
-            ids = self.joiner.encode(mark.join(t for _, t in part), add_special_tokens=False).ids
+            ids = self.joiner.encode_batch_fast([mark.join(t for _, t in part)], add_special_tokens=False)[0].ids
             begin = 0
             for i, _ in part[:-1]:
                 end = ids.index(number, begin)
