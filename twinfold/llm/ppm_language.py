@@ -115,7 +115,7 @@ class Trees:
                 orders.append((keys, bits, contexts, np.log2(totals / kinds)))
             counted.append(orders)
         self.tables: list[tuple[HashTable, np.ndarray, HashTable, np.ndarray]] = []
-        for order in range(ORDER + 1):
+        for order in range(ORDER + 1 if n else 0):
             keys = np.unique(np.concatenate([c[order][0] for c in counted]))
             contexts = np.unique(np.concatenate([c[order][2] for c in counted]))
             escapes = np.zeros((len(contexts), n), dtype=np.float32)
