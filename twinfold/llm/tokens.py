@@ -145,12 +145,14 @@ class Tokens:
             counts.append(len(pieces) - before)
         rows = list(map(self.number.get, pieces))
         if None in rows:
-            new = {p for p, row in zip(pieces, rows) if row is None}
+            missing = [i for i, row in enumerate(rows) if row is None]
+            new = {pieces[i] for i in missing}
             if len(self.number) + len(new) > _KEEP:
                 self._clear()
-                new = set(pieces)
+                new, missing = set(pieces), range(len(pieces))
             self._learn(new)
-            rows = list(map(self.number.get, pieces))
+            for i in missing:
+                rows[i] = self.number[pieces[i]]
         rows = np.array(rows, dtype=np.int64)
         lengths = self.lengths[rows]
         ends = np.cumsum(lengths)
