@@ -63,10 +63,11 @@ def _hashes(pieces, size: int, cache: dict) -> np.ndarray:
 
 
 def groups_of(texts: pd.Series) -> Iterator[list[str]]:
-    """Consecutive texts of about _GROUP characters together."""
+    """Consecutive texts of about _GROUP characters together; a null text is empty."""
     group: list[str] = []
     length = 0
     for text in texts:
+        text = text or ""
         group.append(text)
         length += len(text)
         if length >= _GROUP:
@@ -155,7 +156,7 @@ def fingerprint(normalized: Column, params: Params = DEFAULT) -> Column:
         hashed = list(minhashes(texts, size, a, b, shingle_cache))
         return pd.DataFrame(
             {
-                "simhash": [simhash_value(text.split(), token_cache) for text in texts],
+                "simhash": [simhash_value((text or "").split(), token_cache) for text in texts],
                 "n_shingles": [n for n, _ in hashed],
                 "buckets": [band_hashes(values, rows) if n else [] for n, values in hashed],
             }
@@ -169,7 +170,7 @@ def simhash(normalized: Column) -> Column:
 
     @F.pandas_udf("bigint")
     def value(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash_value(text.split(), cache) for text in texts], dtype="int64")
+        return pd.Series([simhash_value((text or "").split(), cache) for text in texts], dtype="int64")
 
     return value(normalized)
 

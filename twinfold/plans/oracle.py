@@ -271,7 +271,7 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT u AS article_id, max(score) AS best FROM e GROUP BY u) USING (article_id)"""),
     # statistics
     "corpus_totals": _sql("assigned", "SELECT count(*) AS total_articles, count(DISTINCT cluster_id) AS total_clusters FROM assigned"),
-    "size_distribution": _sql("heads", "SELECT size, count(*) AS clusters FROM heads GROUP BY size ORDER BY clusters DESC, size LIMIT 20"),
+    "size_distribution": _sql("heads", "SELECT size, count(*) AS clusters FROM heads GROUP BY size"),
     "status_counts": _sql("assigned", "SELECT cluster_status, count(*) AS articles FROM assigned GROUP BY 1"),
     "stale_pending": _sql("art", """
         SELECT article_id, 1704067200 + 15 * 86400 - (published + 2) AS age_seconds FROM art

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,21 +54,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_written: list[str] = []
+# The tables that the innermost open block of this thread has to delete.
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables materialized inside the block when it ends."""
-    start = len(_written)
+    """Delete the tables that this thread materializes inside the block when it ends.
+
+    Jobs of other threads keep theirs.
+    """
+    mine: list[str] = []
+    outer = _held.set(mine)
     try:
         yield
     finally:
+        _held.reset(outer)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written[start:]:
+        for path in mine:
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
-        del _written[start:]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -79,5 +85,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/twinfold/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    held = _held.get()
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -85,17 +85,17 @@ class Table:
         return f"{self.path}/version={version}"
 
     def write(self, rows: DataFrame, version: int) -> None:
+        """Write a version, then a marker of its own; no marker is ever changed or deleted."""
         rows.select(*self.schema.names).write.mode("overwrite").parquet(self._folder(version))
-        pointer = self.spark.range(1).select(F.lit(version).alias("version"))
-        pointer.write.mode("overwrite").parquet(f"{self.path}/current")
+        marker = self.spark.range(1).select(F.lit(version).alias("version"))
+        marker.write.mode("overwrite").parquet(f"{self.path}/complete-{version:012d}")
 
     def version(self) -> int:
-        """The current version, or -1 when nothing has been written."""
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current/_SUCCESS")
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            return -1
-        return self.spark.read.schema("version int").parquet(f"{self.path}/current").first()["version"]
+        """The newest version with a complete marker, or -1 when there is none."""
+        context = self.spark.sparkContext
+        pattern = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/complete-*/_SUCCESS")
+        found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern)
+        return max((int(s.getPath().getParent().getName().rpartition("-")[2]) for s in found or []), default=-1)
 
     def read(self) -> DataFrame:
         version = self.version()
