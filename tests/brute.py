@@ -86,11 +86,22 @@ def clusters(texts: dict[str, str], exact: bool = True) -> dict[str, tuple]:
     """article id -> (cluster id, score), (None, None) when unique."""
     found = edges(texts, exact=exact)
     root = components(found)
-    best = defaultdict(float)
-    for pair, score in found.items():
-        for end in pair:
-            best[end] = max(best[end], score)
-    return {k: (f"cluster_{root[k]}", best[k]) if k in root else (None, None) for k in texts}
+    alike = simhash if exact else str
+    scores = cluster_scores({k: texts[k] for k in root}, root, alike)
+    return {k: (f"cluster_{root[k]}", scores[k]) if k in root else (None, None) for k in texts}
+
+
+def cluster_scores(texts: dict[str, str], cluster: dict[str, str], alike=simhash) -> dict[str, float]:
+    """1.0 with an article alike in the cluster, otherwise the similarity with the cluster's smallest id."""
+    number = Counter((cluster[k], alike(texts[k])) for k in texts)
+    first = {}
+    for key in sorted(texts):
+        first.setdefault(cluster[key], key)
+    sets = {k: shingles(t) for k, t in texts.items()}
+    return {
+        k: 1.0 if k == first[cluster[k]] or number[cluster[k], alike(t)] > 1 else jaccard(sets[k], sets[first[cluster[k]]])
+        for k, t in texts.items()
+    }
 
 
 def frame(spark, rows, first_minute: int = 0):

@@ -1,4 +1,6 @@
-"""Clustering against brute force, with and without hot buckets, and as a stream."""
+"""Clustering against brute force, with large buckets, and as a stream."""
+
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,6 @@ from twinfold.operators import clusters as cl
 from twinfold.operators import features as ft
 from twinfold.operators import joins
 from twinfold.operators.components import connected_components
-from twinfold.params import Params
 from twinfold.session import materialize
 from twinfold.sources.articles import with_id_lists
 from twinfold.streaming.incremental import IncrementalClusters, article_stream
@@ -79,15 +80,17 @@ def test_clusters_equal_brute_force(articles):
     assert state(cl.cluster_articles(articles)) == brute.clusters(TEXTS)
 
 
-def test_hot_buckets_give_the_same_clusters(articles):
-    expected = brute.clusters(TEXTS)
-    for limit in (2, 20):
-        found = state(cl.cluster_articles(articles, Params(max_bucket=limit)))
-        assert labels(found) == labels(expected)
-        for key, (_, score) in found.items():
-            best = expected[key][1]
-            assert (score is None) == (best is None)
-            assert score is None or 0.8 <= score <= best
+def test_scores_of_a_large_bucket(spark):
+    """One bucket of 2,000 texts that differ in a number or two: clusters and scores as by brute force."""
+    filler = " ".join(f"word{i}" for i in range(60))
+    rows = [(f"p{i:04d}", "page", f"{filler} {i * 7919} {filler} {i % 13}") for i in range(2000)]
+    texts = as_texts(rows)
+    found = state(cl.cluster_articles(materialize(brute.frame(spark, rows))))
+    first = brute.shingles(texts["p0000"])
+    hashes = Counter(brute.simhash(t) for t in texts.values())
+    for key, text in texts.items():
+        exact = key == "p0000" or hashes[brute.simhash(text)] > 1
+        assert found[key] == ("cluster_p0000", 1.0 if exact else brute.jaccard(brute.shingles(text), first))
 
 
 def test_hot_keys_are_salted(articles, monkeypatch):
@@ -106,17 +109,21 @@ def test_row_order_and_partitions_do_not_matter(spark, articles):
     assert one == many
 
 
-def test_stream_with_hot_buckets_equals_batch(spark, articles, tmp_path):
-    state_of = IncrementalClusters(spark, str(tmp_path / "state"), Params(max_bucket=3))
+def test_stream_equals_batch(spark, articles, tmp_path):
+    state_of = IncrementalClusters(spark, str(tmp_path / "state"))
     slices = [articles.where(F.pmod(F.xxhash64("article_id"), F.lit(2)) == i) for i in range(2)]
     for batch, rows in enumerate(slices):
         state_of.apply(rows, batch)
     found = state(state_of.assigned())
-    assert labels(found) == labels(brute.clusters(TEXTS))
+    assert found == brute.clusters(TEXTS)
     # A replayed batch with an old article sent again changes nothing.
     state_of.apply(slices[1].unionByName(slices[0].limit(1)), 1)
     assert state(state_of.assigned()) == found
     assert state_of.articles().count() == len(ROWS)
+    # Rows that break a rule are kept apart, with the reasons.
+    state_of.apply(articles.limit(1).withColumns({"article_id": F.lit("bad"), "content": F.lit(None).cast("string")}), 2)
+    assert [(r.article_id, r.reasons) for r in state_of.table("rejects").collect()] == [("bad", ["content_missing"])]
+    assert state(state_of.assigned()) == found
 
 
 def test_file_stream(spark, articles, tmp_path):
@@ -152,27 +159,18 @@ def test_recheck_of_some(spark, articles):
             else:
                 expected = None
             assert found[key].cluster_id == expected
-            scores = [s for p, s in pairs.items() if key in p]
-            scores += [] if key in again or old[key][1] is None else [old[key][1]]
-            assert found[key].similarity_score == (max(scores) if scores else None)
+    inside = {k: r.cluster_id for k, r in found.items() if r.cluster_id}
+    scores = brute.cluster_scores({k: TEXTS[k] for k in inside}, inside)
+    assert {k: r.similarity_score for k, r in found.items()} == {k: scores.get(k) for k in TEXTS}
 
 
-def test_cluster_records_in_parts(articles):
+def test_cluster_records(articles):
     stored = materialize(cl.cluster_articles(with_id_lists(articles).withColumns(
         {"created_at": F.col("publish_time"), "updated_at": F.col("publish_time")}
     )))
-    expected = {}
-    for key, (name, _) in brute.clusters(TEXTS).items():
-        if name:
-            expected.setdefault(name, set()).add(key)
-    parts = cl.build_clusters(stored, articles, Params(ids_per_row=4)).collect()
-    found = {}
-    for row in parts:
-        assert row.size == len(expected[row.cluster_id])
-        assert not found.setdefault(row.cluster_id, set()) & set(row.article_ids)
-        found[row.cluster_id] |= set(row.article_ids)
-    assert found == expected
-    assert len(parts) > len(expected)
+    expected = Counter(name for name, _ in brute.clusters(TEXTS).values() if name)
+    found = [(r.cluster_id, r.size) for r in cl.build_clusters(stored, articles).collect()]
+    assert len(found) == len(expected) and dict(found) == expected
 
 
 @pytest.mark.parametrize("seed", range(3))

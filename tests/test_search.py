@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tests import brute
 from twinfold.operators import lookups, reports, search
-from twinfold.operators.clusters import best_cluster, member_lists, merge_members
-from twinfold.streaming.incremental import drop_repeats
+from twinfold.operators.clusters import best_cluster, member_sizes, merge_members
 
 # id, title, minute, source, state, top, tags, topics, cluster, status, score
 ROWS = [
@@ -72,10 +71,12 @@ def test_pages(table):
 
 
 def test_page_is_collapsed(table):
-    page = {r.article_id: r.similar_article_ids for r in search.search_page(table, page_size=6).collect()}
+    page = {}
+    for r in search.search_page(table, page_size=6).orderBy("position", "rank").collect():
+        page.setdefault(r.article_id, []).append(r.similar_article_id)
     assert page == {"a": ["a", "b"], "c": ["c"], "d": ["d"], "e": ["e", "f", "g"]}
-    second = search.search_page(table, page=2, page_size=1).collect()
-    assert [(r.article_id, r.similar_article_ids) for r in second] == [("b", ["b", "a"])]
+    second = search.search_page(table, page=2, page_size=1).orderBy("rank").collect()
+    assert [(r.article_id, r.similar_article_id) for r in second] == [("b", "b"), ("b", "a")]
 
 
 def test_members_and_similar(table):
@@ -88,18 +89,21 @@ def test_members_and_similar(table):
 
 def test_details_and_reports(spark, table):
     clusters = spark.createDataFrame(
-        [("cluster_a", 0, ["a", "b"], 2, "a", None), ("cluster_e", 0, ["e"], 3, "f", None), ("cluster_e", 1, ["f"], 3, "f", None)],
-        "cluster_id string, part int, article_ids array<string>, size bigint, representative_article_id string, top_terms array<struct<term:string,weight:double>>",
+        [("cluster_a", 2, "a", None), ("cluster_e", 2, "f", None)],
+        "cluster_id string, size bigint, representative_article_id string, top_terms array<struct<term:string,weight:double>>",
     ).withColumn("last_updated", F.current_timestamp())
     detail = {r.article_id: r for r in lookups.article_detail(table, clusters).collect()}
     assert len(detail) == 7 and detail["c"].cluster is None
     assert (detail["b"].cluster.size, detail["g"].cluster.representative_article_id) == (2, "f")
-    shown = {r.cluster_id: [a.article_id for a in r.articles] for r in lookups.cluster_detail(clusters, table, 2).collect()}
-    assert shown == {"cluster_a": ["a", "b"], "cluster_e": ["e", "f"]}
+    for size, last in ((2, []), (None, ["g"])):
+        shown = {}
+        for r in lookups.cluster_detail(clusters, table, size=size).orderBy("cluster_id", "rank").collect():
+            shown.setdefault(r.cluster_id, []).append(r.article_id)
+        assert shown == {"cluster_a": ["a", "b"], "cluster_e": ["e", "f", *last]}
     checks = {r.cluster_id: (r.claimed, r.listed, r.missing) for r in reports.cluster_consistency(table, clusters).collect()}
     assert checks == {"cluster_a": (2, 2, 0), "cluster_e": (3, 2, 1)}
     assert reports.corpus_totals(table).first().asDict() == {"total_articles": 7, "total_clusters": 2}
-    assert [tuple(r) for r in reports.size_distribution(clusters).collect()] == [(2, 1), (3, 1)]
+    assert [tuple(r) for r in reports.size_distribution(clusters).collect()] == [(2, 2)]
     assert {tuple(r) for r in reports.status_counts(table).collect()} == {("matched", 4), ("unique", 1), ("pending", 2)}
     as_of = F.lit(brute.START + timedelta(minutes=4)).cast("timestamp")
     assert ids(reports.stale_pending(table, as_of, 180)) == "g"
@@ -131,19 +135,20 @@ def test_best_cluster(spark):
 def test_merge_members(spark):
     one = spark.createDataFrame([("c", "1"), ("c", "2"), ("d", "9")], "cluster_id string, article_id string")
     two = spark.createDataFrame([("c", "2"), ("c", "3")], "cluster_id string, article_id string")
-    found = {r.cluster_id: (r.size, r.article_ids) for r in member_lists(merge_members(one, two)).collect()}
-    assert found == {"c": (3, ["1", "2", "3"]), "d": (1, ["9"])}
+    found = {tuple(r) for r in member_sizes(merge_members(one, two)).select("cluster_id", "article_id", "size").collect()}
+    assert found == {("c", "1", 3), ("c", "2", 3), ("c", "3", 3), ("d", "9", 1)}
 
 
-def test_repeated_deliveries_in_a_stream(spark, tmp_path):
-    from twinfold.schemas import ARTICLE
-
-    rows = brute.frame(spark, [("1", "t", "c"), ("2", "t", "c"), ("1", "t", "c")])
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = drop_repeats(spark.readStream.schema(ARTICLE).parquet(str(tmp_path / "in")))
-    query = (
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+def test_all_members_of_a_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "CHUNK", 7)
+    rows = spark.range(250).select(
+        F.format_string("m%03d", "id").alias("article_id"), F.lit("cluster_m000").alias("cluster_id"), F.lit("t").alias("title"),
+        F.lit("matched").alias("cluster_status"), F.lit(1.0).alias("similarity_score"),
+        F.timestamp_seconds(F.floor(F.col("id") / 3)).alias("publish_time"),
     )
-    query.awaitTermination(120)
-    assert ids(spark.read.parquet(str(tmp_path / "out"))) == "12"
+    order = [f"m{i:03d}" for i in sorted(range(250), key=lambda i: (-(i // 3), i))]
+    members = {r["rank"]: r.article_id for r in lookups.cluster_members(rows.repartition(5)).collect()}
+    assert members == {i + 1: key for i, key in enumerate(order)}
+    asked = spark.createDataFrame([("m100",), ("none",)], "article_id string")
+    found = {r["rank"]: r.similar_id for r in lookups.similar_articles(rows, asked).collect()}
+    assert found == {i + 1: key for i, key in enumerate(k for k in order if k != "m100")}

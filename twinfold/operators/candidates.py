@@ -122,6 +122,28 @@ def score_pairs(pairs: DataFrame, articles: DataFrame, params: Params = DEFAULT)
     return materialize(counted.withColumn("score", score).drop("common"))
 
 
+def scores_against(pairs: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Stored ``(article_id, rep_id)`` rows with the Jaccard ``score`` of the two texts, stored.
+
+    An article's text travels once, and that of a representative once per salt. When pairs know the stored
+    ``batch`` and ``rep_batch``, only those batches are read.
+    """
+    keys = ["article_id", "batch"] if "batch" in pairs.columns else ["article_id"]
+    rep_keys = ["rep_id", "rep_batch"][: len(keys)]
+    text = with_normalized(articles.select(*keys, "title", "content")).select(*keys, "normalized")
+    own = pairs.join(text.withColumnRenamed("normalized", "own"), keys).select("article_id", "rep_id", "own")
+    sizes = pairs.groupBy(*rep_keys).agg(F.count("*").alias("size"))
+    reps = sizes.join(text.toDF(*rep_keys, "rep"), rep_keys).select("rep_id", "rep", "size")
+    joined = join_groups(own, reps, ["rep_id"], "size")
+    pieces = [F.array_distinct(sim.shingles(F.col(name), params.shingle_size)).alias(name) for name in ("own", "rep")]
+    counts = joined.select("article_id", "rep_id", *pieces).select(
+        "article_id", "rep_id", sim.overlap(F.col("own"), F.col("rep")).alias("common"),
+        F.size("own").alias("n_own"), F.size("rep").alias("n_rep"),
+    )
+    score = sim.jaccard_from_counts(F.col("common"), F.col("n_own"), F.col("n_rep"))
+    return materialize(counts.select("article_id", "rep_id", score.alias("score")))
+
+
 def similar_pairs(texts: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Candidate pairs with Jaccard at or above the threshold."""
     pairs = materialize(candidate_pairs(stored_members(texts, params), params.threshold))

@@ -34,31 +34,26 @@ def simhash_star(texts: DataFrame) -> DataFrame:
 def verified_edges(
     rows: DataFrame, articles: DataFrame, params: Params, links: DataFrame | None = None, total: int | None = None
 ) -> DataFrame:
-    """Verified pairs of distinct texts for clustering, with their ``score``.
+    """Verified pairs of distinct texts that connect all that their buckets connect, with their ``score``.
 
     ``rows`` are bucket rows; with a ``fresh`` column only pairs with a fresh text count.
-    Buckets over ``params.max_bucket`` texts take the hot-bucket path; there, a score
-    is the best over the pairs it compared. ``links(u, v)`` are connections between
+    Not every similar pair is among them, but their components are those of all similar pairs, and
+    buckets of any size are treated alike. ``links(u, v)`` are connections between
     article ids that are known already and need no comparison. ``total`` bounds the rows.
     """
     members = materialize(cand.bucket_members(rows, total))
-    small = members.where(F.col("members") <= params.max_bucket)
-    hot = members.where(F.col("members") > params.max_bucket)
-    any_hot = not hot.isEmpty()
-    pairs = cand.candidate_pairs(small, params.threshold).drop("shared_bands")
-    if any_hot:
-        pairs = pairs.unionByName(hot_buckets.pivot_pairs(hot)).distinct()
+    pairs = materialize(hot_buckets.pivot_pairs(members, params.threshold))
     keep = F.col("score") >= params.threshold
-    edges = cand.score_pairs(materialize(pairs), articles, params).where(keep)
-    if not any_hot:
+    edges = cand.score_pairs(pairs, articles, params).where(keep)
+    larger = members.where("members > 2")
+    if larger.isEmpty():  # the one pair of a bucket of two has been compared
         return edges
     known = edges.select(F.col("article_id_a").alias("u"), F.col("article_id_b").alias("v"))
     if links is not None:
-        known = known.unionByName(links)
+        known = known.unionByName(keep_ids(links, members.select(F.col("article_id").alias("u")), "u"))
     labels = connected_components(known).select(F.col("node").alias("article_id"), F.col("component").alias("label"))
-    more = materialize(hot_buckets.open_pairs(hot, labels, articles, params))
-    found = cand.score_pairs(more, articles, params).where(keep)
-    return edges.unionByName(found).dropDuplicates(["article_id_a", "article_id_b"])
+    more = materialize(hot_buckets.open_pairs(larger, labels, pairs, articles, params))
+    return edges.unionByName(cand.score_pairs(more, articles, params).where(keep))
 
 
 @dataclass
@@ -71,9 +66,14 @@ class Clustering:
     assigned: DataFrame
 
 
-def node_results(texts: DataFrame, edges: DataFrame, verify_exact: bool = False) -> DataFrame:
+def node_results(
+    texts: DataFrame, edges: DataFrame, articles: DataFrame, params: Params = DEFAULT, verify_exact: bool = False
+) -> DataFrame:
     """Cluster and score per clustered node: ``(node key, articles, cluster_id, similarity_score)``.
 
+    The score is 1.0 for a node of several articles, otherwise the Jaccard similarity with the
+    cluster's representative, its smallest article id: one comparison per node.
+
     A node is a group of articles taken as duplicates: equal SimHash, or equal
     text when ``verify_exact``. Groups are contracted before the component search,
     so a group with very many copies is one node in it.
@@ -90,23 +90,40 @@ def node_results(texts: DataFrame, edges: DataFrame, verify_exact: bool = False)
             )
     links = edges.select(F.col(f"{key}_a").alias("u"), F.col(f"{key}_b").alias("v"))
     labels = connected_components(links)
-    ends = F.array(
-        F.struct(F.col(f"{key}_a").alias(key), "score"), F.struct(F.col(f"{key}_b").alias(key), "score")
-    )
-    best = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy(key).agg(F.max("score").alias("best"))
     # Most nodes are single articles without an edge: they leave here, before the next shuffle.
     clustered = (
         nodes.join(labels.select(F.col("node").alias(key), "component"), key, "left")
-        .join(best, key, "left")
-        .where("best IS NOT NULL OR articles > 1")
+        .where("component IS NOT NULL OR articles > 1")
         .withColumn("component", F.coalesce("component", key))
     )
-    smallest = clustered.groupBy("component").agg(F.min("root").alias("first_id"))
-    return clustered.join(smallest, "component").select(
+    sizes = clustered.groupBy("component").agg(F.min("root").alias("first_id"), F.count("*").alias("nodes"))
+    placed = materialize(join_groups(clustered, sizes, ["component"], "nodes"))
+    alone = placed.where("articles = 1 AND root <> first_id")
+    compared = cand.scores_against(
+        materialize(alone.select(F.col("root").alias("article_id"), F.col("first_id").alias("rep_id"))), articles, params
+    )
+    return placed.join(compared.select(F.col("article_id").alias("root"), "score"), "root", "left").select(
         key, "articles",
         cluster_name(F.col("first_id")).alias("cluster_id"),
-        F.when(F.col("articles") > 1, 1.0).otherwise(F.col("best")).alias("similarity_score"),
+        F.coalesce("score", F.lit(1.0)).alias("similarity_score"),
+    )
+
+
+def cluster_scores(rows: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """``(article_id, score)`` of stored ``(article_id, simhash, cluster_id)`` rows that hold whole clusters.
+
+    1.0 with another article of equal SimHash in the cluster, otherwise the Jaccard similarity
+    with the cluster's smallest article id (1.0 for that one).
+    """
+    heads = rows.groupBy("cluster_id").agg(F.min("article_id").alias("rep_id"), F.count("*").alias("size"))
+    same = rows.groupBy("cluster_id", "simhash").agg(F.count("*").alias("alike"))
+    placed = join_groups(rows, heads, ["cluster_id"], "size")
+    placed = join_groups(placed, same, ["cluster_id", "simhash"], "alike")
+    placed = materialize(
+        placed.select("article_id", "rep_id", ((F.col("alike") > 1) | (F.col("article_id") == F.col("rep_id"))).alias("exact"))
     )
+    compared = cand.scores_against(placed.where("NOT exact").select("article_id", "rep_id"), articles, params)
+    return placed.where("exact").select("article_id", F.lit(1.0).alias("score")).unionByName(compared.select("article_id", "score"))
 
 
 def assign_clusters(features: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -122,7 +139,7 @@ def cluster(articles: DataFrame, params: Params = DEFAULT, verify_exact: bool =
     texts = materialize(text_groups(features))
     links = None if verify_exact else simhash_star(texts)
     edges = verified_edges(cand.bucket_rows(texts), articles, params, links, texts.count() * params.bands)
-    nodes = node_results(texts, edges, verify_exact)
+    nodes = node_results(texts, edges, articles, params, verify_exact)
     return Clustering(features, texts, edges, assign_clusters(features, nodes))
 
 
@@ -145,8 +162,8 @@ def exact_components(texts: DataFrame, edges: DataFrame) -> DataFrame:
     return connected_components(links.unionByName(simhash_star(texts)))
 
 
-def build_clusters(assigned: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Cluster records. The id list of a very large cluster goes on in further rows (``part``)."""
+def build_clusters(assigned: DataFrame, articles: DataFrame) -> DataFrame:
+    """One record per cluster. Its members are the rows of ``assigned`` with its ``cluster_id``."""
     rows = assigned.where("cluster_id IS NOT NULL").select(
         "cluster_id", "article_id", "publish_time", "created_at", "updated_at"
     )
@@ -162,29 +179,20 @@ def build_clusters(assigned: DataFrame, articles: DataFrame, params: Params = DE
     terms = keep_ids(articles.select("article_id", "title", "content"), reps).select(
         F.col("article_id").alias("representative_article_id"), fp.top_terms(tx.full_text()).alias("top_terms")
     )
-    return id_lists(rows, head, params).join(head.join(terms, "representative_article_id", "left"), "cluster_id").select(
-        "cluster_id", "part", "article_ids", "size", "representative_article_id", "top_terms", "last_updated", "created_at"
+    return head.join(terms, "representative_article_id", "left").select(
+        "cluster_id", "size", "representative_article_id", "top_terms", "last_updated", "created_at"
     )
 
 
-def id_lists(rows: DataFrame, sizes: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Sorted id lists per cluster in parts of about ``ids_per_row`` ids."""
-    parts = F.ceil(F.col("size") / F.lit(params.ids_per_row)).cast("int")
-    numbered = join_groups(
-        rows.select("cluster_id", "article_id"), sizes.select("cluster_id", "size"), ["cluster_id"], "size"
-    ).withColumn("part", F.pmod(F.xxhash64("article_id"), parts).cast("int"))
-    return numbered.groupBy("cluster_id", "part").agg(F.sort_array(F.collect_set("article_id")).alias("article_ids"))
-
-
 def merge_members(members: DataFrame, additions: DataFrame) -> DataFrame:
     """Add ``(cluster_id, article_id)`` rows without repeats; returns the members of all clusters."""
     return members.select("cluster_id", "article_id").unionByName(additions.select("cluster_id", "article_id")).distinct()
 
 
-def member_lists(members: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Size and id lists from distinct membership rows."""
+def member_sizes(members: DataFrame) -> DataFrame:
+    """Stored distinct membership rows with the ``size`` of their cluster."""
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    return id_lists(members, sizes, params).join(sizes, "cluster_id")
+    return join_groups(members, sizes.withColumn("rows", F.col("size")), ["cluster_id"], "rows").drop("rows")
 
 
 def unmatched_articles(assigned: DataFrame) -> DataFrame:
@@ -193,9 +201,13 @@ def unmatched_articles(assigned: DataFrame) -> DataFrame:
 
 
 def best_cluster(similar: DataFrame) -> DataFrame:
-    """Best existing cluster per article from ``(article_id, cluster_id, score)``: highest average score."""
+    """Best existing cluster per article: highest average score, over similar articles.
+
+    ``similar`` has ``(article_id, cluster_id, score)`` rows; with ``copies`` a row stands for that many articles.
+    """
+    copies = F.col("copies") if "copies" in similar.columns else F.lit(1)
     averages = similar.where("cluster_id IS NOT NULL").groupBy("article_id", "cluster_id").agg(
-        F.round(F.avg("score"), 9).alias("avg_score"), F.count("*").alias("articles")
+        F.round(F.sum(F.col("score") * copies) / F.sum(copies), 9).alias("avg_score"), F.sum(copies).alias("articles")
     )
     order = Window.partitionBy("article_id").orderBy(F.desc("avg_score"), "cluster_id")
     return averages.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
@@ -206,8 +218,8 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
 
     The given articles leave their clusters, get new fingerprints and candidates among
     all articles, and join or merge the clusters of the verified ones. The equal-SimHash
-    shortcut is not taken. Other articles keep their cluster unless it is merged, and
-    their score unless a better one is found. ``assigned`` must be stored.
+    shortcut is not taken. Other articles keep their cluster unless it is merged. Scores follow
+    ``cluster_scores``; only clusters that lost, got or merged articles are scored. ``assigned`` must be stored.
     """
     fields = ["article_id", "text_key", "simhash", "n_shingles", "buckets"]
     fresh = materialize(extract_features(keep_ids(articles, ids), params).select(*fields))
@@ -271,9 +283,18 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     state = join_groups(kept, renamed, ["cluster_id"], "size", how="left").drop("size").unionByName(
         fresh.select(*fields, *empty, F.lit(None).cast("string").alias("merged_id"))
     )
-    state = state.join(found, "article_id", "left").withColumn("cluster_id", F.coalesce("new_id", "merged_id", "cluster_id"))
-    return state.select(
+    state = materialize(
+        state.join(found.select("article_id", "new_id"), "article_id", "left")
+        .withColumn("cluster_id", F.coalesce("new_id", "merged_id", "cluster_id")).select(*fields, "cluster_id", "similarity_score")
+    )
+    left = keep_ids(assigned.where("cluster_id IS NOT NULL").select("article_id", "cluster_id"), ids).select("cluster_id")
+    changed = materialize(
+        left.unionByName(found.select(F.col("new_id").alias("cluster_id"))).unionByName(merged.select(F.col("merged_id").alias("cluster_id"))).distinct()
+    )
+    rows = keep_ids(state.select("article_id", "simhash", "cluster_id"), changed, "cluster_id")
+    scores = cluster_scores(materialize(rows), articles, params)
+    return state.join(scores, "article_id", "left").select(
         *fields, "cluster_id",
         F.when(F.col("cluster_id").isNull(), "unique").otherwise("matched").alias("cluster_status"),
-        F.greatest("similarity_score", "best").alias("similarity_score"),
+        F.coalesce("score", "similarity_score").alias("similarity_score"),
     )

@@ -1,4 +1,4 @@
-"""Edges inside LSH buckets that are too large to compare pair by pair.
+"""Edges inside LSH buckets without comparing a bucket's texts pair by pair.
 
 Only connectivity matters for clusters, so a bucket of n texts does not need its
 n(n-1)/2 comparisons:
@@ -10,12 +10,12 @@ n(n-1)/2 comparisons:
    n - ceil(t n) + 1 rarest ones (prefix filter), in any common order of shingles.
 
 All candidate pairs at or above the threshold end up in one component, exactly as
-if every pair had been compared.
+if every pair had been compared. Buckets of all sizes take the same steps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions import similarity as sim
@@ -26,13 +26,14 @@ from twinfold.params import Params
 from twinfold.session import materialize
 
 
-def pivot_pairs(hot: DataFrame) -> DataFrame:
-    """Each member of a hot bucket with the bucket's smallest id, as candidate pairs."""
+def pivot_pairs(hot: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Each member of a bucket with the bucket's smallest id, as candidate pairs that sizes do not rule out."""
     values = [c for c in hot.columns if c not in ("bucket", "members")]
     smallest = hot.groupBy("bucket").agg(F.min(F.struct(*values)).alias("p"), F.first("members").alias("members"))
     pivots = smallest.select("bucket", "members", *[F.col(f"p.{c}").alias(f"{c}_a") for c in values])
     rest = hot.select("bucket", *[F.col(c).alias(f"{c}_b") for c in values])
     pairs = join_groups(rest, pivots, ["bucket"], "members").where("article_id_a <> article_id_b")
+    pairs = pairs.where(sim.size_ratio(F.col("n_shingles_a"), F.col("n_shingles_b")) >= threshold)
     if "fresh" in hot.columns:
         pairs = pairs.where("fresh_a OR fresh_b")
     return pairs.select(*pair_columns(hot)).distinct()
@@ -41,8 +42,10 @@ def pivot_pairs(hot: DataFrame) -> DataFrame:
 def rare_shingles(articles: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
     """The rarest shingles of each given article that decide whether a pair can reach the threshold."""
     texts = with_normalized(keep_ids(articles.select("article_id", "title", "content"), ids))
-    pieces = F.array_distinct(sim.shingles(F.col("normalized"), params.shingle_size))
-    rows = texts.select("article_id", F.size(pieces).alias("n"), F.explode(pieces).alias("shingle"))
+    pieces = F.array_distinct(sim.shingles(F.col("normalized"), params.shingle_size)).alias("pieces")
+    # Sized before it is exploded: beside the generator, the array would be built again for every row of it.
+    sized = texts.select("article_id", pieces).select("article_id", F.size("pieces").alias("n"), "pieces")
+    rows = sized.select("article_id", "n", F.explode("pieces").alias("shingle"))
     frequency = rows.groupBy("shingle").agg(F.count("*").alias("texts"))
     ranked = join_groups(rows, frequency, ["shingle"], "texts").withColumn(
         "rank", F.row_number().over(Window.partitionBy("article_id").orderBy("texts", "shingle"))
@@ -52,10 +55,10 @@ def rare_shingles(articles: DataFrame, ids: DataFrame, params: Params) -> DataFr
     )
 
 
-def open_pairs(hot: DataFrame, labels: DataFrame, articles: DataFrame, params: Params) -> DataFrame:
-    """Candidate pairs across components that the prefix filter cannot rule out.
+def open_pairs(hot: DataFrame, labels: DataFrame, done: DataFrame, articles: DataFrame, params: Params) -> DataFrame:
+    """Candidate pairs across components that the prefix filter cannot rule out, without the pairs ``done``.
 
-    ``labels(article_id, label)`` gives the component of each hot member so far.
+    ``labels(article_id, label)`` gives the component of each member so far.
     """
     values = [c for c in hot.columns if c not in ("bucket", "members")]
     member = hot.groupBy(*values).agg(F.collect_set("bucket").alias("buckets"))
@@ -72,37 +75,46 @@ def open_pairs(hot: DataFrame, labels: DataFrame, articles: DataFrame, params: P
     unsettled = materialize(
         join_groups(hot.select("bucket", "article_id"), mixed, ["bucket"], "members").select("article_id").distinct()
     )
-    rare = materialize(rare_shingles(articles, unsettled, params).join(member, "article_id"))
+    labelled = member.select("article_id", "n_shingles", "label")
+    rare = materialize(rare_shingles(articles, unsettled, params).join(labelled, "article_id"))
     # Only pairs across components: of each shingle's holders, those outside its largest
-    # component against all, in chunks of holders.
+    # component against all, both in chunks. Rows carry ids; all else is joined to the pairs.
     groups = (
         rare.groupBy("shingle", "label").agg(F.count("*").alias("n"))
         .groupBy("shingle")
         .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("holders"), F.count("*").alias("labels"))
         .where("labels > 1")
-        .select("shingle", "holders", F.col("top.label").alias("main"))
+        .select("shingle", "holders", (F.col("holders") - F.col("top.n")).alias("others"), F.col("top.label").alias("main"))
     )
     shared = materialize(join_groups(rare, groups, ["shingle"], "holders"))
-    carried = [*values, "label", "buckets"]
-    chunks = F.ceil(F.col("holders") / F.lit(CHUNK)).cast("int")
+    carried = ["article_id", "n_shingles", "label"]
+    all_chunks, other_chunks = (F.ceil(F.col(n) / F.lit(CHUNK)).cast("int") for n in ("holders", "others"))
+
+    def place(chunks: Column) -> Column:
+        return F.pmod(F.xxhash64("article_id"), chunks).cast("int")
+
+    def every(chunks: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), chunks - 1))
+
     outside = shared.where("label <> main").select(
-        "shingle", "main", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_c"), *[F.col(c).alias(f"{c}_x") for c in carried]
+        "shingle", "main", place(other_chunks).alias("_d"), every(all_chunks).alias("_c"), *[F.col(c).alias(f"{c}_x") for c in carried]
     )
     holders = shared.select(
-        "shingle", F.pmod(F.xxhash64("article_id"), chunks).cast("int").alias("_c"), *[F.col(c).alias(f"{c}_y") for c in carried]
+        "shingle", place(all_chunks).alias("_c"), every(other_chunks).alias("_d"), *[F.col(c).alias(f"{c}_y") for c in carried]
     )
-    pairs = (
-        outside.join(holders, ["shingle", "_c"])
+    ids = (
+        outside.join(holders, ["shingle", "_c", "_d"])
         .where("label_x <> label_y AND (label_y = main OR article_id_x < article_id_y)")
         .where(sim.size_ratio(F.col("n_shingles_x"), F.col("n_shingles_y")) >= params.threshold)
-        .where(F.arrays_overlap("buckets_x", "buckets_y"))
+        .select(F.least("article_id_x", "article_id_y").alias("article_id_a"), F.greatest("article_id_x", "article_id_y").alias("article_id_b"))
+        .distinct()
+        .join(done.select("article_id_a", "article_id_b"), ["article_id_a", "article_id_b"], "left_anti")
     )
-    swap = F.col("article_id_x") > F.col("article_id_y")
-    ordered = [
-        F.when(swap, F.col(f"{c}_{two}")).otherwise(F.col(f"{c}_{one}")).alias(f"{c}_{end}")
-        for c in values for end, one, two in (("a", "x", "y"), ("b", "y", "x"))
-    ]
-    pairs = pairs.select(*ordered)
+    pairs = ids
+    for end in "ab":
+        described = member.select(*[F.col(c).alias(f"{c}_{end}") for c in [*values, "buckets"]])
+        pairs = pairs.join(described, f"article_id_{end}")
+    pairs = pairs.where(F.arrays_overlap("buckets_a", "buckets_b"))
     if "fresh" in hot.columns:
         pairs = pairs.where("fresh_a OR fresh_b")
-    return pairs.select(*pair_columns(hot)).distinct()
+    return pairs.select(*pair_columns(hot))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinfold.session import materialize
+
 # A key with more rows than this is cut into pieces of about this many rows. No more
 # than (all rows / HOT_ROWS) keys can be that large, so their list can be broadcast.
 HOT_ROWS = 1_000_000
@@ -42,6 +44,21 @@ def join_groups(
     return salted_rows.join(salted_groups, [*keys, "_salt"], how).drop("_salt")
 
 
+def rank_within(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``rank``, their place from 1 within ``key``, whatever a key's size; ``order`` must be total.
+
+    Rows are range-partitioned by key and order, so a large key lies in many partitions.
+    A row's rank is its place in its partition plus the key's rows in earlier partitions.
+    """
+    placed = materialize(rows.repartitionByRange(key, *order).withColumn("_p", F.spark_partition_id()))
+    counts = placed.groupBy(key, "_p").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(key, "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(key, "_p").orderBy(*order))
+    ranked = placed.withColumn("_here", here).join(before, [key, "_p"])
+    return ranked.withColumn("rank", F.col("_here") + F.col("_before")).drop("_p", "_here", "_before")
+
+
 def keep_ids(rows: DataFrame, ids: DataFrame, key: str = "article_id") -> DataFrame:
     """Rows whose ``key`` is in the stored ``ids``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions import text as tx
+from twinfold.operators.joins import keep_ids
 from twinfold.operators.lookups import cluster_members
 from twinfold.session import materialize
 
@@ -103,28 +104,28 @@ def collapse(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_first", first).where("_first = 1").drop("_first")
 
 
-def with_similar_ids(hits: DataFrame, articles: DataFrame, size: int = 100) -> DataFrame:
-    """Each hit with its own id and then the ids of its cluster, newest first, up to ``size`` read per cluster.
+def with_similar_ids(hits: DataFrame, articles: DataFrame, size: int | None = None) -> DataFrame:
+    """Each stored hit with a row for itself (``rank`` 0) and one per other article of its cluster.
 
-    ``hits`` is one page, so its clusters are broadcast to the article scan.
+    ``rank`` is the place in the cluster, newest first; with ``size`` only the first ones are read.
     """
     wanted = hits.where("cluster_id IS NOT NULL").select("cluster_id").distinct()
-    in_clusters = articles.join(F.broadcast(wanted), "cluster_id", "left_semi")
-    lists = cluster_members(in_clusters, size).groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "article_id"))).alias("members")
+    members = cluster_members(keep_ids(articles, materialize(wanted), "cluster_id"), size).select(
+        "cluster_id", "rank", F.col("article_id").alias("similar_article_id")
     )
-    others = F.filter(F.col("members.article_id"), lambda a: a != F.col("article_id"))
-    ids = F.concat(F.array("article_id"), F.coalesce(others, F.array().cast("array<string>")))
-    return hits.join(F.broadcast(lists), "cluster_id", "left").select("position", "article_id", "cluster_id", ids.alias("similar_article_ids"))
+    others = hits.join(members, "cluster_id").where("article_id <> similar_article_id")
+    own = hits.select("*", F.lit(0).alias("rank"), F.col("article_id").alias("similar_article_id"))
+    names = ["position", "article_id", "cluster_id", "rank", "similar_article_id"]
+    return own.select(*names).unionByName(others.select(*names))
 
 
 def search_page(
     articles: DataFrame, *, page: int = 1, page_size: int = 20, sort: str | None = None, **conditions
 ) -> DataFrame:
-    """A search result page: collapsed by cluster, each hit with its similar article ids."""
+    """A search result page: collapsed by cluster, each hit with its similar article ids, a row for each."""
     if page_size > MAX_PAGE_SIZE:
         raise ValueError(f"page_size is at most {MAX_PAGE_SIZE}")
     found = search_articles(articles, **conditions)
     hits = paginate(found, sort_order(sort), page, page_size)
     page_rows = materialize(hits.select("position", "article_id", "cluster_id"))
-    return with_similar_ids(collapse(page_rows), articles)
+    return with_similar_ids(materialize(collapse(page_rows)), articles)

@@ -10,11 +10,6 @@ class Params:
     rows: int = 6
     threshold: float = 0.8
     hamming: int = 3
-    # LSH buckets with more distinct texts than this are clustered by the
-    # hot-bucket path instead of comparing every pair in the bucket.
-    max_bucket: int = 1000
-    # A cluster's id list continues in a further row after about this many ids.
-    ids_per_row: int = 10_000
 
     @property
     def permutations(self) -> int:

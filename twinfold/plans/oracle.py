@@ -84,11 +84,15 @@ CTES: dict[str, tuple[str, str]] = {
         SELECT u AS article_id, min(l) AS root FROM (
           WITH RECURSIVE r AS (SELECT u, least(u, v) AS l FROM ends UNION SELECT e.v, r.l FROM r JOIN ends e ON e.u = r.u)
           SELECT * FROM r) GROUP BY u"""),
-    "assigned": ("art comp ends", """
+    "assigned": ("art comp sh sets", """
         SELECT art.article_id, 'cluster_' || root AS cluster_id, CASE WHEN root IS NULL THEN 'unique' ELSE 'matched' END AS cluster_status,
-               score AS similarity_score, title, content, published, source, state, top, tag_ids, topic_ids
+               CASE WHEN root IS NULL THEN NULL WHEN alike > 1 OR article_id = root THEN 1.0
+                 ELSE common / (n + root_n - common) END::DOUBLE AS similarity_score, title, content, published, source, state, top, tag_ids, topic_ids
         FROM art LEFT JOIN comp USING (article_id)
-        LEFT JOIN (SELECT u AS article_id, max(score) AS score FROM ends GROUP BY u) USING (article_id)"""),
+        LEFT JOIN (SELECT article_id, count(*) OVER (PARTITION BY simhash) AS alike FROM sh) USING (article_id)
+        LEFT JOIN (
+          SELECT c.article_id, len(list_intersect(x.s, y.s))::DOUBLE AS common, len(x.s) AS n, len(y.s) AS root_n
+          FROM comp c JOIN sets x ON x.article_id = c.article_id JOIN sets y ON y.article_id = c.root) USING (article_id)"""),
     "words": ("art", r"""
         SELECT article_id, w, count(*) AS n, min(i) AS first FROM (
           SELECT article_id, unnest(l) AS w, generate_subscripts(l, 1) AS i
@@ -107,13 +111,13 @@ CTES: dict[str, tuple[str, str]] = {
         WINDOW w AS (PARTITION BY simhash) QUALIFY size > 1"""),
     "tpairs": ("verified reps", """
         SELECT v.* FROM verified v JOIN reps x ON x.article_id = a JOIN reps y ON y.article_id = b"""),
-    "linked": ("tpairs dups", """
+    "linked": ("verified dups", """
         SELECT p.article_id, p.other_id, p.score, 'cluster_' || root AS cluster_id
-        FROM (SELECT a AS article_id, b AS other_id, score FROM tpairs UNION ALL SELECT b, a, score FROM tpairs) p
+        FROM (SELECT a AS article_id, b AS other_id, score FROM verified UNION ALL SELECT b, a, score FROM verified) p
         LEFT JOIN dups ON dups.article_id = other_id"""),
     "ranked": ("assigned", """
         SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY published DESC, article_id) AS rank
-        FROM assigned WHERE cluster_id IS NOT NULL QUALIFY rank <= 100"""),
+        FROM assigned WHERE cluster_id IS NOT NULL"""),
     "first100": ("assigned", """
         SELECT row_number() OVER (ORDER BY published DESC, article_id) AS position, * FROM assigned QUALIFY position <= 100"""),
     "titles": ("art", r"""
@@ -248,27 +252,29 @@ ORACLE: dict[str, str] = {
         SELECT u AS article_id, min(l) AS component FROM walk GROUP BY u"""),
     "cluster_articles": _sql("assigned", f"SELECT {_STATE} FROM assigned"),
     "clusters": _sql("heads terms", """
-        SELECT cluster_id, 0::BIGINT AS part, ids AS article_ids, size, representative AS representative_article_id,
+        SELECT cluster_id, size, representative AS representative_article_id,
                coalesce(top_terms, '') AS top_terms, created AS created_epoch, updated AS updated_epoch
         FROM heads LEFT JOIN (
           SELECT article_id AS representative, string_agg(term || '=' || printf('%.3f', weight), ' ' ORDER BY rank) AS top_terms FROM terms GROUP BY article_id)
         USING (representative)"""),
     "duplicate_clusters": _sql("dups", "SELECT article_id, 'cluster_' || root AS cluster_id, 1.0::DOUBLE AS similarity_score FROM dups"),
     "merge_members": _sql("linked", """
-        SELECT cluster_id, 0::BIGINT AS part, string_agg(article_id, ',' ORDER BY article_id) AS article_ids, count(*) AS size
-        FROM (SELECT 'cluster_' || root AS cluster_id, article_id FROM dups UNION SELECT cluster_id, article_id FROM linked WHERE cluster_id IS NOT NULL)
-        GROUP BY cluster_id"""),
+        SELECT cluster_id, article_id, count(*) OVER (PARTITION BY cluster_id) AS size
+        FROM (SELECT 'cluster_' || root AS cluster_id, article_id FROM dups UNION SELECT cluster_id, article_id FROM linked WHERE cluster_id IS NOT NULL)"""),
     "best_cluster": _sql("linked", """
         SELECT article_id, cluster_id, round(avg(score), 9) AS avg_score, count(*) AS articles FROM linked WHERE cluster_id IS NOT NULL
         GROUP BY article_id, cluster_id QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY round(avg(score), 9) DESC, cluster_id) = 1"""),
     "unmatched_articles": _sql("assigned", "SELECT article_id FROM assigned WHERE cluster_status = 'unique'"),
-    "recheck": _sql("art verified", """
+    "recheck": _sql("art verified sh sets", """
         , e AS (SELECT a AS u, b AS v, score FROM verified UNION ALL SELECT b, a, score FROM verified),
         walk AS (SELECT * FROM (
           WITH RECURSIVE r AS (SELECT u, least(u, v) AS l FROM e UNION SELECT e.v, r.l FROM r JOIN e ON e.u = r.u) SELECT * FROM r))
-        SELECT article_id, 'cluster_' || root AS cluster_id, CASE WHEN root IS NULL THEN 'unique' ELSE 'matched' END AS cluster_status, best AS similarity_score
+        SELECT article_id, 'cluster_' || root AS cluster_id, CASE WHEN root IS NULL THEN 'unique' ELSE 'matched' END AS cluster_status,
+               CASE WHEN root IS NULL THEN NULL WHEN article_id = root OR count(*) OVER (PARTITION BY root, simhash) > 1 THEN 1.0
+                 ELSE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))::DOUBLE END::DOUBLE AS similarity_score
         FROM art LEFT JOIN (SELECT u AS article_id, min(l) AS root FROM walk GROUP BY u) USING (article_id)
-        LEFT JOIN (SELECT u AS article_id, max(score) AS best FROM e GROUP BY u) USING (article_id)"""),
+        LEFT JOIN sh USING (article_id) LEFT JOIN sets x USING (article_id)
+        LEFT JOIN (SELECT article_id AS root, s FROM sets) y USING (root)"""),
     # statistics
     "corpus_totals": _sql("assigned", "SELECT count(*) AS total_articles, count(DISTINCT cluster_id) AS total_clusters FROM assigned"),
     "size_distribution": _sql("heads", "SELECT size, count(*) AS clusters FROM heads GROUP BY size"),
@@ -299,28 +305,42 @@ ORACLE: dict[str, str] = {
         SELECT position, article_id, cluster_id, published AS publish_epoch FROM first100
         QUALIFY row_number() OVER (PARTITION BY coalesce(cluster_id, article_id) ORDER BY position) = 1"""),
     "search_similar_ids": _sql("first100 ranked", """
-        SELECT position, h.article_id, array_to_string(list_concat([h.article_id], coalesce((
-            SELECT list(r.article_id ORDER BY rank) FROM ranked r WHERE r.cluster_id = h.cluster_id AND r.article_id <> h.article_id), [])), ',') AS similar_article_ids
-        FROM (SELECT * FROM first100 QUALIFY row_number() OVER (PARTITION BY coalesce(cluster_id, article_id) ORDER BY position) = 1) h"""),
+        , hit AS (SELECT * FROM first100 QUALIFY row_number() OVER (PARTITION BY coalesce(cluster_id, article_id) ORDER BY position) = 1)
+        SELECT position, article_id, 0::BIGINT AS rank, article_id AS similar_article_id FROM hit
+        UNION ALL SELECT position, h.article_id, r.rank, r.article_id FROM hit h JOIN ranked r ON r.cluster_id = h.cluster_id AND r.article_id <> h.article_id"""),
     # answers
     "article_detail": _sql("assigned heads", f"""
         SELECT {_STATE}, state, top, size AS cluster_size, representative FROM assigned LEFT JOIN heads USING (cluster_id)"""),
     "similar_articles": _sql("assigned ranked", """
         SELECT a.article_id, r.article_id AS similar_id, r.title, r.similarity_score, row_number() OVER (PARTITION BY a.article_id ORDER BY r.rank) AS rank
-        FROM assigned a JOIN ranked r ON a.cluster_id = r.cluster_id AND a.article_id <> r.article_id"""),
+        FROM assigned a JOIN ranked r ON a.cluster_id = r.cluster_id AND a.article_id <> r.article_id AND r.rank <= 100"""),
+    "similar_articles_by_id": _sql("assigned ranked", """
+        SELECT a.article_id, r.article_id AS similar_id, r.title, r.similarity_score, row_number() OVER (PARTITION BY a.article_id ORDER BY r.rank) AS rank
+        FROM assigned a JOIN ranked r ON a.cluster_id = r.cluster_id AND a.article_id <> r.article_id
+        WHERE a.article_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"""),
     "cluster_detail": _sql("heads ranked", """
-        SELECT cluster_id, size, representative AS representative_article_id, articles
-        FROM heads JOIN (SELECT cluster_id, string_agg(article_id, ',' ORDER BY rank) AS articles FROM ranked GROUP BY 1) USING (cluster_id)"""),
+        SELECT cluster_id, size, representative AS representative_article_id, rank, article_id, cluster_status, similarity_score
+        FROM heads JOIN ranked USING (cluster_id)"""),
     "cluster_members": _sql("ranked", "SELECT cluster_id, rank, article_id, published AS publish_epoch FROM ranked"),
     # streaming
     "incremental_clusters": _sql("assigned", f"SELECT {_STATE} FROM assigned"),
+    "stream_rejects": _sql("", """
+        SELECT * FROM (SELECT conv_id || '-' || turn AS article_id, array_to_string(list_filter([
+            CASE WHEN text IS NULL THEN 'title_missing' END, CASE WHEN text IS NULL THEN 'content_missing' END,
+            CASE WHEN role IS NULL OR role = 'system' THEN 'source_missing' END,
+            CASE WHEN length(text) > 200000 THEN 'content_too_long' END,
+            CASE WHEN turn - 1 NOT BETWEEN 0 AND 2 THEN 'state_range' END,
+            CASE WHEN turn NOT BETWEEN 0 AND 1 THEN 'top_range' END], lambda r: r IS NOT NULL), ',') AS reasons
+        FROM conversations) WHERE reasons <> ''"""),
     # quality reports
     "peer_recall": _sql("assigned", """
         SELECT article_id, count(*) OVER (PARTITION BY content) - 1 AS expected,
                CASE WHEN cluster_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content, cluster_id) - 1 END AS found,
                CASE WHEN cluster_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content, cluster_id) - 1 END = count(*) OVER (PARTITION BY content) - 1 AS passed
         FROM assigned"""),
-    "cluster_consistency": _sql("heads", "SELECT cluster_id, size AS claimed, size AS listed, 0::BIGINT AS missing FROM heads"),
+    "cluster_consistency": _sql("assigned heads", """
+        SELECT cluster_id, claimed, size AS listed, greatest(claimed - size, 0) AS missing
+        FROM heads FULL JOIN (SELECT cluster_id, count(*) AS claimed FROM assigned WHERE cluster_id IS NOT NULL GROUP BY 1) USING (cluster_id)"""),
     "title_self_search": _sql("titles", """
         SELECT q.article_id, rank IS NOT NULL AS found, rank FROM titles q LEFT JOIN (
           SELECT article_id, 1 + (SELECT count(*) FROM titles d WHERE list_has_all(d.tokens, x.tokens) AND (d.published > x.published OR (d.published = x.published AND d.article_id < x.article_id))) AS rank

@@ -370,8 +370,7 @@ def cluster_articles(spark, sf_dir):
 def clusters(spark, sf_dir):
     terms = F.transform("top_terms", lambda t: F.concat_ws("=", t["term"], F.format_number(t["weight"], 3)))
     return cluster_table(spark, sf_dir).select(
-        "cluster_id", F.col("part").cast("bigint").alias("part"), joined("article_ids").alias("article_ids"), "size",
-        "representative_article_id", joined(terms, " ").alias("top_terms"),
+        "cluster_id", "size", "representative_article_id", joined(terms, " ").alias("top_terms"),
         epoch("created_at").alias("created_epoch"), epoch("last_updated").alias("updated_epoch"),
     )
 
@@ -383,24 +382,41 @@ def duplicate_clusters(spark, sf_dir):
 
 
 def _similar_with_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar articles of each distinct text with the cluster that equal SimHash gave them."""
-    exact = cl.duplicate_clusters(features(spark, sf_dir)).select(F.col("article_id").alias("other_id"), "cluster_id")
-    return cand.both_ways(pairs(spark, sf_dir), "score").join(exact, "other_id", "left")
+    """Texts similar to each distinct text, with the cluster that equal SimHash gave them and their number of articles.
+
+    A text with copies is similar to itself, by its other articles.
+    """
+    rows = texts(spark, sf_dir)
+    groups = ft.simhash_groups(rows).where("articles > 1").select("simhash", cl.cluster_name(F.col("root")).alias("cluster_id"), "texts")
+    each = materialize(
+        join_groups(rows.select("article_id", "simhash", "n_shingles", "copies"), groups, ["simhash"], "texts", how="left").drop("texts")
+    )
+    other = each.select(F.col("article_id").alias("other_id"), "cluster_id", "copies")
+    links = cand.both_ways(pairs(spark, sf_dir), "score").join(other, "other_id")
+    own = each.where("copies > 1 AND n_shingles > 0").select(
+        F.col("article_id").alias("other_id"), "article_id", F.lit(1.0).alias("score"), "cluster_id", (F.col("copies") - 1).alias("copies")
+    )
+    return links.unionByName(own)
+
+
+def _text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("article_id", "text_key", F.col("copies").alias("size"))
 
 
 @query
 def merge_members(spark, sf_dir):
     members = cl.duplicate_clusters(features(spark, sf_dir))
-    additions = _similar_with_clusters(spark, sf_dir).where("cluster_id IS NOT NULL")
-    rows = materialize(cl.merge_members(members, additions))
-    return cl.member_lists(rows).select(
-        "cluster_id", F.col("part").cast("bigint").alias("part"), joined("article_ids").alias("article_ids"), "size"
-    )
+    by_text = _similar_with_clusters(spark, sf_dir).where("cluster_id IS NOT NULL").select("article_id", "cluster_id").distinct()
+    by_text = by_text.join(_text_keys(spark, sf_dir), "article_id").select("text_key", "cluster_id")
+    additions = features(spark, sf_dir).select("article_id", "text_key").join(by_text, "text_key")
+    return cl.member_sizes(materialize(cl.merge_members(members, additions))).select("cluster_id", "article_id", "size")
 
 
 @query
 def best_cluster(spark, sf_dir):
-    return cl.best_cluster(_similar_with_clusters(spark, sf_dir)).select("article_id", "cluster_id", "avg_score", "articles")
+    best = cl.best_cluster(_similar_with_clusters(spark, sf_dir)).join(_text_keys(spark, sf_dir), "article_id").drop("article_id")
+    rows = join_groups(features(spark, sf_dir).select("article_id", "text_key"), best, ["text_key"], "size")
+    return rows.select("article_id", "cluster_id", "avg_score", "articles")
 
 
 @query
@@ -509,8 +525,7 @@ def search_page(spark, sf_dir):
 
 @query
 def paginate(spark, sf_dir):
-    heads = cluster_table(spark, sf_dir).where("part = 0")
-    page = search.paginate(heads, [F.desc("size"), F.asc("cluster_id")], 2, 25)
+    page = search.paginate(cluster_table(spark, sf_dir), [F.desc("size"), F.asc("cluster_id")], 2, 25)
     return page.select("position", "cluster_id", "size")
 
 
@@ -523,7 +538,7 @@ def search_collapse(spark, sf_dir):
 @query
 def search_similar_ids(spark, sf_dir):
     page = search.search_page(assigned(spark, sf_dir), page=1, page_size=100)
-    return page.select("position", "article_id", joined("similar_article_ids").alias("similar_article_ids"))
+    return page.select("position", "article_id", F.col("rank").cast("bigint").alias("rank"), "similar_article_id")
 
 
 # --- answers ----------------------------------------------------------------
@@ -538,16 +553,30 @@ def article_detail(spark, sf_dir):
     )
 
 
+def _similar(rows: DataFrame) -> DataFrame:
+    return rows.select("article_id", "similar_id", "title", "similarity_score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def similar_articles(spark, sf_dir):
-    rows = lookups.similar_articles(assigned(spark, sf_dir))
-    return rows.select("article_id", "similar_id", "title", "similarity_score", F.col("rank").cast("bigint").alias("rank"))
+    """The answer as it is served: the others among the first 100 of the cluster."""
+    return _similar(lookups.similar_articles(assigned(spark, sf_dir), size=100))
+
+
+@query
+def similar_articles_by_id(spark, sf_dir):
+    """All other members of the cluster, for the ids marked toxic."""
+    ids = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("article_id"))
+    return _similar(lookups.similar_articles(assigned(spark, sf_dir), ids))
 
 
 @query
 def cluster_detail(spark, sf_dir):
     rows = lookups.cluster_detail(cluster_table(spark, sf_dir), assigned(spark, sf_dir))
-    return rows.select("cluster_id", "size", "representative_article_id", joined("articles.article_id").alias("articles"))
+    return rows.select(
+        "cluster_id", "size", "representative_article_id", F.col("rank").cast("bigint").alias("rank"), "article_id",
+        "cluster_status", "similarity_score",
+    )
 
 
 @query
@@ -572,6 +601,20 @@ def incremental_clusters(spark, sf_dir):
     return state.assigned()
 
 
+@query
+def stream_rejects(spark, sf_dir):
+    """Turns sent as articles: what the stream's gate keeps out, and why."""
+    import uuid
+
+    state = IncrementalClusters(spark, f"{shared_folder(spark)}/twinfold/{uuid.uuid4().hex}")
+    turns = table(spark, sf_dir, "conversations").select(*_submitted(
+        F.concat_ws("-", "conv_id", "turn"), F.col("text"), F.col("turn"),
+        F.when(F.col("role") != "system", F.col("role")), F.col("turn") - 1, F.col("turn"),
+    ))
+    state.apply(turns, 0)
+    return state.table("rejects").select("article_id", joined("reasons").alias("reasons"))
+
+
 # --- quality reports --------------------------------------------------------
 
 

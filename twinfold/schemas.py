@@ -37,12 +37,10 @@ STORED_ARTICLE = T.StructType(
     ]
 )
 
-# ``part`` numbers the rows of one cluster: its id list is cut into bounded pieces.
+# One record per cluster; its members are rows of the article table.
 CLUSTER = T.StructType(
     [
         T.StructField("cluster_id", T.StringType()),
-        T.StructField("part", T.IntegerType()),
-        T.StructField("article_ids", T.ArrayType(T.StringType())),
         T.StructField("size", T.LongType()),
         T.StructField("representative_article_id", T.StringType()),
         T.StructField("top_terms", T.ArrayType(TERM)),

@@ -4,9 +4,11 @@ State is a folder of append-only tables, one ``batch=<id>`` partition per batch:
 
   articles  new articles with text          updates  changed fields of known articles
   features  fingerprint and first label     texts    texts not seen before, with buckets
-  scores    new similarity scores           aliases  labels that were merged into another
+  scores    similarity scores               aliases  labels that were merged into another
+  rejects   invalid rows with their reasons
 
-A label is the smallest article id of a component when the row was written;
+A score holds for the label it names, or for good if it names none (equal SimHash): a batch scores
+its own articles and those of clusters that it merged into another. A label is the smallest article id of a component when the row was written;
 ``aliases`` maps it to the present one, so merging two clusters of any size costs a
 few alias rows. Batch k reads partitions below k only and overwrites its own, so a
 replayed batch gives the same state. Matches may reach back without limit, hence
@@ -44,8 +46,9 @@ TABLES = {
     "texts": _columns(
         article_id=_ID, text_key=T.BinaryType(), simhash=_LONG, n_shingles=T.IntegerType(), buckets=T.ArrayType(_LONG)
     ),
-    "scores": _columns(article_id=_ID, score=T.DoubleType()),
+    "scores": _columns(article_id=_ID, label=_ID, score=T.DoubleType()),
     "aliases": _columns(label=_ID, present=_ID),
+    "rejects": T.StructType([*ARTICLE.fields, T.StructField("reasons", T.ArrayType(T.StringType()))]),
 }
 
 
@@ -81,7 +84,8 @@ class IncrementalClusters:
             self._apply(incoming, batch)
 
     def _apply(self, incoming: DataFrame, batch: int) -> None:
-        valid, _ = validate_articles(incoming.select(*ARTICLE.names))
+        valid, rejected = validate_articles(incoming.select(*ARTICLE.names))
+        self._write("rejects", batch, rejected)
         order = [F.desc("publish_time"), F.xxhash64("title", "content")]
         latest = materialize(latest_per_key(valid, "article_id", order))
         stored = self.table("articles", batch).select("article_id")
@@ -150,32 +154,52 @@ class IncrementalClusters:
         named = groups.join(labels, groups["root"] == labels["node"], "left").select(
             "simhash", "articles", F.coalesce("component", "root").alias("label")
         )
-        self._write("features", batch, join_groups(features, named, ["simhash"], "articles"))
+        fresh = self._write("features", batch, join_groups(features, named, ["simhash"], "articles"))
 
-        merged = labels.where("node <> component").select(F.col("node").alias("label"), F.col("component").alias("target"))
+        merged = materialize(
+            labels.where("node <> component").select(F.col("node").alias("label"), F.col("component").alias("target"))
+        )
         present = latest_per_key(self.table("aliases", batch), "label", [F.desc("batch")])
         moved = present.join(merged.withColumnRenamed("label", "present"), "present").select("label", F.col("target").alias("present"))
         direct = merged.withColumnRenamed("target", "present")
         self._write("aliases", batch, direct.unionByName(moved))
+        roots = labels.select(F.col("component").alias("article_id")).distinct()
+        self._score(fresh, groups, earlier, merged, roots, batch)
 
+    def _score(
+        self, fresh: DataFrame, groups: DataFrame, earlier: DataFrame, merged: DataFrame, roots: DataFrame, batch: int
+    ) -> None:
+        """Scores of new articles and of the articles whose label was merged into another one."""
         exact = groups.join(earlier.select("simhash", "stored", "stored_id"), "simhash", "left").where(
             "articles + coalesce(stored, 0) > 1"
+        ).select("simhash", "articles", "stored_id")
+        always = materialize(
+            join_groups(fresh, exact, ["simhash"], "articles").select("article_id")
+            .unionByName(exact.where("stored_id IS NOT NULL").select(F.col("stored_id").alias("article_id")))
         )
-        exact = exact.select("simhash", "articles", "stored_id", F.lit(1.0).alias("score"))
-        score_a = edges.select(F.col("article_id_a").alias("article_id"), "score")
-        score_b = edges.select(F.col("article_id_b").alias("article_id"), "score")
-        scores = (
-            join_groups(features.select("article_id", "simhash"), exact, ["simhash"], "articles").select("article_id", "score")
-            .unionByName(exact.where("stored_id IS NOT NULL").select(F.col("stored_id").alias("article_id"), "score"))
-            .unionByName(score_a).unionByName(score_b)
-            .groupBy("article_id").agg(F.max("score").alias("score"))
-        )
-        self._write("scores", batch, scores)
+        settled = self.table("scores", batch).where("label IS NULL").select("article_id").unionByName(always)
+        old = self._present(self.table("features", batch).select("article_id", "label", "batch"), batch)
+        wanted = fresh.select("article_id", F.col("label").alias("rep_id"), F.lit(batch).alias("batch")).unionByName(
+            old.join(merged, "label").select("article_id", F.col("target").alias("rep_id"), "batch")
+        ).where("article_id <> rep_id")
+        wanted = materialize(wanted.join(settled, "article_id", "left_anti"))
+        reps = materialize(wanted.select(F.col("rep_id").alias("article_id")).distinct())
+        where = keep_ids(self.table("features", batch + 1), reps).select(F.col("article_id").alias("rep_id"), F.col("batch").alias("rep_batch"))
+        pairs = materialize(wanted.join(where, "rep_id"))
+        compared = cand.scores_against(pairs, self.table("articles", batch + 1), self.params)
+        one = F.lit(1.0).alias("score")
+        self._write("scores", batch, (
+            always.select("article_id", F.lit(None).cast("string").alias("label"), one)
+            .unionByName(roots.select("article_id", F.col("article_id").alias("label"), one))
+            .unionByName(compared.select("article_id", F.col("rep_id").alias("label"), "score"))
+        ))
 
     def assigned(self) -> DataFrame:
         """Present state: ``article_id, cluster_id, cluster_status, similarity_score``."""
-        best = self.table("scores").groupBy("article_id").agg(F.max("score").alias("similarity_score"))
-        rows = self._present(self.table("features").drop("batch")).join(best, "article_id", "left")
+        scores = self.table("scores").select("article_id", F.col("label").alias("scored"), "score")
+        holds = F.col("scored").isNull() | (F.col("scored") == F.col("label"))
+        rows = self._present(self.table("features").select("article_id", "label")).join(scores, "article_id", "left")
+        rows = rows.groupBy("article_id", "label").agg(F.max(F.when(holds, F.col("score"))).alias("similarity_score"))
         matched = F.col("similarity_score").isNotNull()
         return rows.select(
             "article_id",
@@ -203,8 +227,3 @@ def article_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000
     """Articles from files as they appear in ``folder``."""
     reader = spark.readStream.schema(ARTICLE).option("maxFilesPerTrigger", files_per_batch)
     return reader.format(format).load(folder)
-
-
-def drop_repeats(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeated deliveries of an article id within ``delay`` of publish time, without stored state."""
-    return stream.withWatermark("publish_time", delay).dropDuplicatesWithinWatermark(["article_id"])
