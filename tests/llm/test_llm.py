@@ -377,3 +377,44 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == [c.split()[0] for c in names.split(", ")], name
     assert {r.doc_id for r in docs.collect()} == set(range(120))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(120))
+
+
+def test_keep_one_five_words(spark):
+    """Near copies at all similarities around 0.8, a common line and a large group, against brute force."""
+    rnd = random.Random(11)
+    line = "subscribe to our letter and read more of it every day at home"
+    texts = []
+    for number in range(40):
+        base = prose(5000 + number, n=300).split()
+        texts.append(" ".join([*base, line]))
+        for changes in (1, 2, 4, 6, 7, 8, 12):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), changes):
+                copy[at] = f"w{rnd.randrange(10**9)}"
+            texts.append(" ".join([*copy, line]))
+    shared = prose(7, n=40).split()
+    for i in range(150):  # of one text, similar to each other in chains at most
+        copy = list(shared)
+        copy[i % 40] = f"v{i}"
+        texts.append(" ".join(copy))
+    texts += ["the same four words", "the same four word", " ", None]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+
+    sets = [shingles(t) for t in texts]
+    links = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if 5 * common >= 4 * (len(a) + len(sets[j]) - common):
+                links.append((i, j))
+    first = {}
+    for place, group in enumerate(components(len(texts), links)):
+        first[group] = min(order[place], first.get(group, order[place]))
+    rows = [(order[place], t) for place, t in enumerate(texts)]
+    kept = simhash_blocks.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())

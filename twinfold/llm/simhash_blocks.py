@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinfold.llm import similar_sets
 from twinfold.llm.common import as_bytes, small_batches
 from twinfold.operators.components import connected_components
 from twinfold.session import materialize
@@ -204,21 +205,24 @@ def near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, bits: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row with the smallest id stays.
 
-    All columns are kept as they are. Among rows with the same smallest id one stays; null ids come last.
+    Texts are linked by the exact similarity of their five-word shingles (:mod:`similar_sets`), not by
+    fingerprints, which find few of the pairs near the threshold. All columns are kept as they are.
+    Among rows with the same smallest id one stays; null ids come last.
     """
     small_batches(docs.sparkSession)
     row = F.struct(
         F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row")
     )
-    stored = materialize(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), fingerprint(F.col("text")).alias("fp"), row.alias("key"))
-    )
-    prints = materialize(stored.groupBy("fp").agg(F.min("key").alias("first")))
-    grouped = components(prints.select("fp"), bits)
-    labelled = prints.join(grouped, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    kept = labelled.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    stored = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("key")))
+    texts = stored.select(F.col("key.row").alias("row"), F.col("doc.text").alias("text"))
+    marked = materialize(similar_sets.marks(texts, similar_sets.frequent_shingles(texts)))
+    keys = marked.select("row", "set").join(stored.select("key", F.col("key.row").alias("row")), "row")
+    firsts = materialize(keys.groupBy("set").agg(F.min("key").alias("first")).select("set", "first", F.col("first.row").alias("row")))
+    grouped = similar_sets.groups(marked, firsts.select("set", "row"), texts)
+    labelled = firsts.join(grouped, "set", "left").withColumn("group", F.coalesce("group", "set"))
+    kept = materialize(labelled.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
     rows = stored.select("doc", F.col("key.row").alias("row"))
     return rows.join(kept, "row", "left_semi").select("doc.*")
