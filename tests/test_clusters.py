@@ -221,3 +221,16 @@ def test_classify(features, texts, articles):
                 expected[end] = ("similar", max(best, score))
     found = {r.article_id: (r.verdict, r.score) for r in cand.classify_articles(features, texts, articles).collect()}
     assert found == expected
+
+
+def test_components_hold_every_copy(spark, tmp_path):
+    from twinfold.plans.queries import QUERIES
+
+    copies = [(i, "one text that has only exact copies of itself " * 3) for i in range(4)]
+    more = [(10, "another page about rivers and the towns beside them"), (11, "nothing else in here is like this one at all")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in copies + more]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in QUERIES["article_components"](spark, str(tmp_path)).collect()}
+    assert found == {(str(i), "0") for i in range(4)}
+    members = {tuple(r) for r in QUERIES["text_members"](spark, str(tmp_path)).collect()}
+    assert members == {(str(i), "0", 4) for i in range(4)} | {("10", "10", 1), ("11", "11", 1)}

@@ -162,6 +162,17 @@ def exact_components(texts: DataFrame, edges: DataFrame) -> DataFrame:
     return connected_components(links.unionByName(simhash_star(texts)))
 
 
+def article_components(features: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(article_id, component)`` of every article with another one: copies too, and texts that only have copies."""
+    found = exact_components(texts, edges).select(F.col("node").alias("article_id"), "component")
+    grouped = (
+        texts.select("article_id", "text_key", "copies").join(found, "article_id", "left")
+        .where("component IS NOT NULL OR copies > 1")
+        .select("text_key", "copies", F.coalesce("component", "article_id").alias("component"))
+    )
+    return join_groups(features.select("article_id", "text_key"), grouped, ["text_key"], "copies").select("article_id", "component")
+
+
 def build_clusters(assigned: DataFrame, articles: DataFrame) -> DataFrame:
     """One record per cluster. Its members are the rows of ``assigned`` with its ``cluster_id``."""
     rows = assigned.where("cluster_id IS NOT NULL").select(

@@ -250,6 +250,9 @@ ORACLE: dict[str, str] = {
         walk AS (SELECT * FROM (
           WITH RECURSIVE r AS (SELECT u, least(u, v) AS l FROM link UNION SELECT e.v, r.l FROM r JOIN link e ON e.u = r.u) SELECT * FROM r))
         SELECT u AS article_id, min(l) AS component FROM walk GROUP BY u"""),
+    "article_components": _sql("comp", "SELECT article_id, root AS component FROM comp"),
+    "text_members": _sql("nrm", """
+        SELECT article_id, min(article_id) OVER (PARTITION BY norm) AS representative, count(*) OVER (PARTITION BY norm) AS copies FROM nrm"""),
     "cluster_articles": _sql("assigned", f"SELECT {_STATE} FROM assigned"),
     "clusters": _sql("heads terms", """
         SELECT cluster_id, size, representative AS representative_article_id,

@@ -361,6 +361,20 @@ def components(spark, sf_dir):
     return rows.select(F.col("node").alias("article_id"), "component")
 
 
+@query
+def article_components(spark, sf_dir):
+    """``components`` for every article: copies too, and texts that only have exact copies."""
+    return cl.article_components(features(spark, sf_dir), texts(spark, sf_dir), pairs(spark, sf_dir))
+
+
+@query
+def text_members(spark, sf_dir):
+    """The articles of each text that the pair queries list under its smallest article id."""
+    groups = texts(spark, sf_dir).select("text_key", F.col("article_id").alias("representative"), "copies")
+    rows = join_groups(features(spark, sf_dir).select("article_id", "text_key"), groups, ["text_key"], "copies")
+    return rows.select("article_id", "representative", "copies")
+
+
 @query
 def cluster_articles(spark, sf_dir):
     return ids_and_state(assigned(spark, sf_dir))
