@@ -152,3 +152,14 @@ def test_all_members_of_a_large_cluster(spark, monkeypatch):
     asked = spark.createDataFrame([("m100",), ("none",)], "article_id string")
     found = {r["rank"]: r.similar_id for r in lookups.similar_articles(rows, asked).collect()}
     assert found == {i + 1: key for i, key in enumerate(k for k in order if k != "m100")}
+
+
+def test_similar_members_beyond_100(spark, tmp_path):
+    from twinfold.plans.queries import QUERIES
+
+    rows = [(i, "one text of which there are more than a hundred copies " * 3, "en", "s", 165) for i in range(130)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["similar_members"](spark, str(tmp_path)).collect()
+    assert sorted(r["rank"] for r in found) == list(range(1, 131))
+    assert {r.article_id for r in found} == {str(i) for i in range(130)}
+    assert {(r.cluster_id, r.similarity_score) for r in found} == {("cluster_0", 1.0)}

@@ -67,6 +67,15 @@ def similar_articles(articles: DataFrame, ids: DataFrame | None = None, size: in
     )
 
 
+def similar_members(articles: DataFrame) -> DataFrame:
+    """One row per matched article with its cluster and ``rank``, newest first.
+
+    The rows of a cluster are the similar articles of each of its articles, without listing them per article.
+    """
+    score = F.coalesce("similarity_score", F.lit(0.0))
+    return cluster_members(articles).select("article_id", "cluster_id", "rank", "title", score.alias("similarity_score"))
+
+
 def cluster_detail(clusters: DataFrame, articles: DataFrame, ids: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """Cluster records (of the ``cluster_id``s in ``ids``) with a row per member, newest first, or the first ``size``."""
     if ids is not None:

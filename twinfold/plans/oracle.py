@@ -317,6 +317,7 @@ ORACLE: dict[str, str] = {
     "similar_articles": _sql("assigned ranked", """
         SELECT a.article_id, r.article_id AS similar_id, r.title, r.similarity_score, row_number() OVER (PARTITION BY a.article_id ORDER BY r.rank) AS rank
         FROM assigned a JOIN ranked r ON a.cluster_id = r.cluster_id AND a.article_id <> r.article_id AND r.rank <= 100"""),
+    "similar_members": _sql("ranked", "SELECT article_id, cluster_id, rank, title, similarity_score FROM ranked"),
     "similar_articles_by_id": _sql("assigned ranked", """
         SELECT a.article_id, r.article_id AS similar_id, r.title, r.similarity_score, row_number() OVER (PARTITION BY a.article_id ORDER BY r.rank) AS rank
         FROM assigned a JOIN ranked r ON a.cluster_id = r.cluster_id AND a.article_id <> r.article_id

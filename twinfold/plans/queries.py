@@ -577,6 +577,13 @@ def similar_articles(spark, sf_dir):
     return _similar(lookups.similar_articles(assigned(spark, sf_dir), size=100))
 
 
+@query
+def similar_members(spark, sf_dir):
+    """The whole answer, linear: each article's cluster and own rank; similar to it are the cluster's other rows."""
+    rows = lookups.similar_members(assigned(spark, sf_dir))
+    return rows.select("article_id", "cluster_id", F.col("rank").cast("bigint").alias("rank"), "title", "similarity_score")
+
+
 @query
 def similar_articles_by_id(spark, sf_dir):
     """All other members of the cluster, for the ids marked toxic."""
