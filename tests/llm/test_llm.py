@@ -418,3 +418,18 @@ def test_keep_one_five_words(spark):
     rows = [(order[place], t) for place, t in enumerate(texts)]
     kept = simhash_blocks.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+
+
+def test_toxicity_ignores_other_labels(spark):
+    """Labels of held-out or missing texts change nothing."""
+    rows = [(i, prose(i) + (" awful" * 3 if i % 4 == 0 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = [(i, int(i % 4 == 0)) for i in range(80)]
+    other = [(1000 + i, 1) for i in range(300)]
+
+    def scores(labels):
+        marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+        model = toxic_segments.learn(docs, marks)
+        return {r.doc_id: r.s for r in docs.select("doc_id", toxic_segments.toxicity(docs, model).alias("s")).collect()}
+
+    assert scores(own + other) == pytest.approx(scores(own), abs=1e-9)

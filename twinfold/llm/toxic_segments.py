@@ -169,12 +169,14 @@ def logistic(rows: np.ndarray, labels: np.ndarray, case: np.ndarray, rounds: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from ``doc_id``, ``text`` and the ``toxic`` labels of at most ``sample`` texts of either class."""
+    """The model from ``doc_id``, ``text`` and the ``toxic`` labels of at most ``sample`` texts of either class.
+
+    Labels of other ids than those of ``docs`` count for nothing.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        (F.max("toxic") > 0).cast("int").alias("toxic")
-    )
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).join(docs.select("doc_id"), "doc_id", "left_semi")
+    marked = materialize(known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     kinds = marked.groupBy("toxic").agg(F.count("*").alias("n"))
     total = {row["toxic"]: row["n"] for row in kinds.collect()}
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
