@@ -379,45 +379,41 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(120))
 
 
-def test_keep_one_five_words(spark):
-    """Near copies at all similarities around 0.8, a common line and a large group, against brute force."""
+def test_keep_one_of_equal_ids_and_rows(spark):
+    """Near copies at several distances, repeated ids, rows equal in all cells, null cells, against brute force."""
     rnd = random.Random(11)
-    line = "subscribe to our letter and read more of it every day at home"
-    texts = []
-    for number in range(40):
-        base = prose(5000 + number, n=300).split()
-        texts.append(" ".join([*base, line]))
-        for changes in (1, 2, 4, 6, 7, 8, 12):
+    rows = []
+    for number in range(30):
+        base = prose(5000 + number, n=400).split()
+        for changes in (0, 0, 1, 2, 5, 20, 80):
             copy = list(base)
             for at in rnd.sample(range(len(copy)), changes):
                 copy[at] = f"w{rnd.randrange(10**9)}"
-            texts.append(" ".join([*copy, line]))
-    shared = prose(7, n=40).split()
-    for i in range(150):  # of one text, similar to each other in chains at most
-        copy = list(shared)
-        copy[i % 40] = f"v{i}"
-        texts.append(" ".join(copy))
-    texts += ["the same four words", "the same four word", " ", None]
-    order = list(range(len(texts)))
-    rnd.shuffle(order)
-
-    def shingles(text):
-        words = (text or "").lower().split()
-        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
-
-    sets = [shingles(t) for t in texts]
-    links = []
-    for i, a in enumerate(sets):
-        for j in range(i):
-            common = len(a & sets[j])
-            if 5 * common >= 4 * (len(a) + len(sets[j]) - common):
-                links.append((i, j))
-    first = {}
-    for place, group in enumerate(components(len(texts), links)):
-        first[group] = min(order[place], first.get(group, order[place]))
-    rows = [(order[place], t) for place, t in enumerate(texts)]
-    kept = simhash_blocks.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+            rows.append((rnd.randrange(150), " ".join(copy), rnd.choice(["a", "b", None])))
+    rows += [(None, rows[3][1], "a"), (None, "alone here", None), (None, "alone here", None), (7, None, "x"), (7, "x", None), (8, " ", "y")]
+    rows += [rows[0], rows[0], rows[-2]]
+    prints = [brute_fingerprint(t) for _, t, _ in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    group = components(len(rows), links)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)
+    kept = simhash_blocks.keep_one(frame).collect()
+    of_print = dict(zip(prints, group))
+    got = {of_print[brute_fingerprint(r.text)]: r for r in kept}
+    assert len(got) == len(kept) == len(set(group))
+    smallest = {}
+    for (i, _, _), g in zip(rows, group):
+        smallest[g] = min((i is None, i or 0), smallest.get(g, (True, 0)))
+    assert {g: (r.doc_id is None, r.doc_id or 0) for g, r in got.items()} == smallest
+    assert set(map(tuple, kept)) <= set(rows)
+
+
+def test_arrow_setting_comes_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    frame = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>")
+    int8_dedup.near_duplicates(frame)
+    one_bit_search.search(frame, F.col("vec_id") % 10 == 0)
+    assert spark.conf.get(key) == before
 
 
 def test_toxicity_ignores_other_labels(spark):

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinfold.llm.common import records_per_batch
 from twinfold.llm.vectors import cosines, is_usable, unit_rows
 from twinfold.operators.components import connected_components
 from twinfold.session import materialize
@@ -134,8 +135,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                         names=["node", "links", "root"],
                     )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    found = materialize(units.mapInArrow(compare, schema))
+    with records_per_batch(spark, 4):
+        found = materialize(units.mapInArrow(compare, schema))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     groups = connected_components(edges).select("node", F.col("component").alias("group"))

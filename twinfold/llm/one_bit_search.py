@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import grouped
+from twinfold.llm.common import grouped, records_per_batch
 from twinfold.llm.vectors import cosines, is_usable, unit_rows
 from twinfold.session import materialize
 
@@ -173,8 +173,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, epsilon: float = EP
                 )
 
     # A pair is some megabytes; a few at a time are in one Arrow batch.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    near = materialize(pairs.repartition(parts, "query_block", "block").mapInArrow(compare, schema))
+    with records_per_batch(spark, 8):
+        near = materialize(pairs.repartition(parts, "query_block", "block").mapInArrow(compare, schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

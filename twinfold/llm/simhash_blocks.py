@@ -26,7 +26,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm import similar_sets
 from twinfold.llm.common import as_bytes, small_batches
 from twinfold.operators.components import connected_components
 from twinfold.session import materialize
@@ -191,38 +190,51 @@ def components(prints: DataFrame, bits: int = 4) -> DataFrame:
     return found.select(F.col("node").alias("fp"), F.col("component").alias("group"))
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
+def _first_of_group(prints: DataFrame, bits: int) -> DataFrame:
+    """``(fp, group, first)``, stored: of every fingerprint the least ``first`` of those that it is linked to.
+
+    ``prints`` is a stored table with each fingerprint ``fp`` once and its least row ``first``.
+    """
+    labelled = prints.join(components(prints, bits), "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    smallest = labelled.groupBy("group").agg(F.min("first").alias("first"))
+    return materialize(labelled.select("fp", "group").join(smallest, "group"))
+
+
+def near_duplicates(docs: DataFrame, bits: int = 4, size: int = SHINGLE) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per document; component_id = smallest id reachable by links."""
     small_batches(docs.sparkSession)
-    marked = materialize(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    marked = materialize(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")))
     prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    grouped = components(prints, bits)
-    labelled = prints.join(grouped, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    smallest = labelled.groupBy("group").agg(F.min("first").alias("component_id"))
-    named = materialize(labelled.select("fp", "group").join(smallest, "group").select("fp", "component_id"))
+    named = _first_of_group(prints, bits).select("fp", F.col("first").alias("component_id"))
     return marked.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the row with the smallest id stays.
+def keep_one(docs: DataFrame, bits: int = 4, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group of linked fingerprints one row stays.
 
-    Texts are linked by the exact similarity of their five-word shingles (:mod:`similar_sets`), not by
-    fingerprints, which find few of the pairs near the threshold. All columns are kept as they are.
-    Among rows with the same smallest id one stays; null ids come last.
+    It is a row with the smallest id; null ids come last, and of rows with equal ids the least digest of
+    the whole row counts. All columns are kept as they are. Texts are read twice instead of stored again: the
+    second time to find the rows by id and digest.
     """
     small_batches(docs.sparkSession)
-    row = F.struct(
-        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row")
-    )
-    stored = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("key")))
-    texts = stored.select(F.col("key.row").alias("row"), F.col("doc.text").alias("text"))
-    marked = materialize(similar_sets.marks(texts, similar_sets.frequent_shingles(texts)))
-    keys = marked.select("row", "set").join(stored.select("key", F.col("key.row").alias("row")), "row")
-    firsts = materialize(keys.groupBy("set").agg(F.min("key").alias("first")).select("set", "first", F.col("first.row").alias("row")))
-    grouped = similar_sets.groups(marked, firsts.select("set", "row"), texts)
-    labelled = firsts.join(grouped, "set", "left").withColumn("group", F.coalesce("group", "set"))
-    kept = materialize(labelled.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
-    rows = stored.select("doc", F.col("key.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    # A digest skips nulls, so it takes which cells are null as well.
+    digest = F.xxhash64(*cells, *[c.isNull() for c in cells])
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    marked = materialize(docs.select(key.alias("key"), fingerprint(F.col("text"), size).alias("fp")))
+    prints = materialize(marked.groupBy("fp").agg(F.min("key").alias("first")))
+    firsts = materialize(_first_of_group(prints, bits).select("first.*").distinct())
+    # Rows that are equal in every cell have one key: one of them stays.
+    times = marked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key.*")
+    repeated = materialize(times.join(firsts, [times["digest"] == firsts["digest"], times["id"].eqNullSafe(firsts["id"])], "left_semi"))
+    rows = docs.select(F.struct(*cells).alias("doc"), F.col("doc_id").alias("id"), digest.alias("digest"))
+
+    def among(some: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        return some.join(found, [some["digest"] == found["digest"], some["id"].eqNullSafe(found["id"])], how)
+
+    kept = among(rows, firsts, "left_semi")
+    once = among(kept, repeated, "left_anti")
+    again = among(kept, repeated, "left_semi").dropDuplicates(["id", "digest"])
+    return once.unionByName(again).select("doc.*")

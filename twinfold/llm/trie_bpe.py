@@ -1,8 +1,10 @@
 """BPE encoding and decoding of documents through a trie of their distinct words.
 
-The words of a block of documents are inserted into a trie whose edges are symbols (the
-last symbol of a word carries the end mark). Going down the trie, each node gets the
-last token of its prefix's encoding. BPE keeps the encoding of a prefix that ends at a
+The distinct words of a block of documents form a trie whose edges are symbols (the
+last symbol of a word carries the end mark). In sorted order the words are its leaves as a depth-first
+walk meets them, so the trie needs no nodes: the common prefix of two neighbours says how far the walk goes
+back, and a stack holds the states of the present path. Going down, each prefix gets the
+last token of its encoding. BPE keeps the encoding of a prefix that ends at a
 token border, so the last token of a prefix is the one suffix that is a token and may
 follow the last token of what is before it. Each shared prefix is thus encoded once, and a
 word's ids are read by walking the last tokens back.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from twinfold.llm.common import as_bytes, grouped, share, shared, small_batches
 
 _BLOCK = 4_000_000  # bytes of text whose words are inserted together
-_KEEP = 400_000  # words remembered per task
+_KEEP = 400_000  # words in each of the two generations that a worker remembers
 
 #: Characters for which Python's normalisation and letter classes are those of the tokenizer.
 _PLAIN = regex.compile("[\x21-\x7e\xa1-ɏ‐-‧€]*")
@@ -121,61 +123,57 @@ class Merges:
         return fine
 
 
-class Trie:
-    """Words as paths of byte symbols; node 0 is the empty prefix."""
-
-    def __init__(self, merges: Merges):
-        self.merges = merges
-        self.child: list[dict[str, int]] = [{}]
-        self.word: dict[int, str] = {}
-
-    def insert(self, word: str) -> None:
-        """Add a word written in byte symbols; its last symbol gets the end mark."""
-        at, child = 0, self.child
-        for symbol in (*word[:-1], word[-1] + END):
-            down = child[at].get(symbol)
-            if down is None:
-                down = child[at][symbol] = len(child)
-                child.append({})
-            at = down
-        self.word[at] = word
-
-    def encodings(self) -> Iterator[tuple[str, list[int]]]:
-        """Every inserted word with its ids, by one depth-first walk."""
-        states, shorter, child, word = self.merges.states, self.merges.shorter, self.child, self.word
-        allowed, known = self.merges.allowed, self.merges.side_by_side
-        lasts: list[tuple[int, int]] = [(-1, 0)]  # by depth on the current path: last token, symbols in it
-        stack = [(1, "", symbol, node) for symbol, node in child[0].items()]
-        while stack:
-            depth, state, symbol, node = stack.pop()
-            del lasts[depth:]
-            for character in symbol:
-                while state + character not in states:
-                    if not state:
-                        raise ValueError(f"symbol {character!r} is not in the vocabulary")
+def encodings(merges: Merges, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+    """Every distinct word, written in byte symbols, with its ids, by one depth-first walk of their trie."""
+    states, shorter = merges.states, merges.shorter
+    allowed, known = merges.allowed, merges.side_by_side
+    # By depth on the present path: the state, the last token and its number of symbols.
+    path: list[str] = [""]
+    tokens, sizes = [-1], [0]
+    before = ""
+    for word in sorted(words):
+        last = len(word) - 1  # the symbol with the end mark, an edge of this word alone
+        depth, most = 0, min(last, len(before) - 1)
+        while depth < most and before[depth] == word[depth]:
+            depth += 1
+        del path[depth + 1 :], tokens[depth + 1 :], sizes[depth + 1 :]
+        state = path[depth]
+        while depth <= last:
+            symbol = word[depth]
+            longer = state + symbol
+            while longer not in states:
+                if not state:
+                    raise ValueError(f"symbol {symbol!r} is not in the vocabulary")
+                state = states[state][1]
+                longer = state + symbol
+            state = longer
+            if depth == last:
+                longer = state + END
+                while longer not in states:
                     state = states[state][1]
-                state += character
+                    longer = state + END
+                state = longer
+            depth += 1
             # The tokens that end the prefix, longer ones first.
             token = states[state][0]
             while token >= 0:
                 size, next_token = shorter[token]
-                before = lasts[depth - size][0]
-                fine = before < 0 or known.get((before, token))
-                if allowed(before, token) if fine is None else fine:
+                left = tokens[depth - size]
+                fine = left < 0 or known.get((left, token))
+                if allowed(left, token) if fine is None else fine:
                     break
                 token = next_token
             else:
                 raise ValueError(f"no token ends at {symbol!r}")
-            lasts.append((token, size))
-            if node in word:
-                found, at = [], depth
-                while at:
-                    token, size = lasts[at]
-                    found.append(token)
-                    at -= size
-                yield word[node], found[::-1]
-            else:
-                stack += [(depth + 1, state, symbol, down) for symbol, down in child[node].items()]
+            path.append(state)
+            tokens.append(token)
+            sizes.append(size)
+        found, at = [], depth
+        while at:
+            found.append(tokens[at])
+            at -= sizes[at]
+        before = word
+        yield word, found[::-1]
 
 
 class Encoder:
@@ -190,6 +188,7 @@ class Encoder:
         self.pieces = regex.compile(pattern)
         self.symbols = byte_symbols()
         self.of: dict[bytes, tuple[int, str, str]] = {}
+        self.old: dict[bytes, tuple[int, str, str]] = {}
         self.blank = False  # whether a word without any token was met
         self.cut = regex.compile("|".join(map(regex.escape, merges.special)).encode()) if merges.special else None
         self.of_special = {t.encode(): (1, str(i), t) for t, i in merges.special.items()}
@@ -204,20 +203,23 @@ class Encoder:
         tidy = self.exact.normalizer.normalize_str(text)
         return [p for p, _ in self.exact.pre_tokenizer.pre_tokenize_str(tidy)]
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Encode words not met before: distinct pieces into a trie, then one walk."""
-        new = {w for w in words if w not in self.of}
+    def learn(self, words: set[bytes]) -> None:
+        """Encode words not met before: their distinct pieces by one walk of a trie."""
+        new = words.difference(self.of)
         if len(self.of) + len(new) > _KEEP:
-            self.of.clear()
-            new = set(words)
+            # The older generation goes; what this block needs of the other one is taken over.
+            self.old, self.of, new = self.of, {}, words
+        if self.old:
+            known = self.old
+            again = {w: known[w] for w in new if w in known}
+            self.of.update(again)
+            new = new.difference(again)
         pieces = {w: self.split(w) for w in new}
-        trie = Trie(self.merges)
-        for piece in {p for found in pieces.values() for p in found}:
-            trie.insert(piece)
         # Of a piece: how many ids, the ids as text, the tokens as text.
+        text = self.merges.text
         coded = {
-            piece: (len(ids), " ".join(map(str, ids)), " ".join(map(self.merges.text.__getitem__, ids)))
-            for piece, ids in trie.encodings()
+            piece: (len(ids), " ".join(map(str, ids)), " ".join([text[i] for i in ids]))
+            for piece, ids in encodings(self.merges, {p for found in pieces.values() for p in found})
         }
         for word, found in pieces.items():
             if len(found) == 1:
