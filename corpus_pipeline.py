@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from twinfold.llm import grouping_packer, ppm_language, simhash_blocks, toxic_segments
 from twinfold.llm.common import table
 from twinfold.llm.queries import BYTE_BPE, END_ID, SEQUENCE
-from twinfold.session import shared_folder
+from twinfold.session import scratch, shared_folder
 
+BITS, SHINGLE = 4, 4  # fingerprints link at so many differing bits or fewer; words of a shingle
 LEAST_SURE = 0.5  # a document whose language is less sure than this is rejected
 
 
@@ -32,8 +33,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash_blocks.keep_one(docs)
+    """Of each group of documents linked by their SimHash fingerprints the one with the smallest id stays."""
+    return simhash_blocks.keep_one(docs, BITS, SHINGLE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again."""
+    """All stages, each written as Parquet to the shared folder and read again.
+
+    What a stage stores besides goes when it has been written.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/twinfold/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
