@@ -24,6 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinfold.functions.shingle_sets import ids_of, sized_sketch
 from twinfold.params import DEFAULT, Params
 
 # Workers need not have the package installed: its functions travel by value.
@@ -145,13 +146,13 @@ def simhash_value(tokens: list[str], cache: dict) -> int:
 
 
 def fingerprint(normalized: Column, params: Params = DEFAULT) -> Column:
-    """struct(simhash, n_shingles, buckets) of normalised text; no buckets without shingles."""
+    """struct(simhash, n_shingles, buckets, sketch) of normalised text; no buckets without shingles."""
     size, rows = params.shingle_size, params.rows
     a, b = coefficients(params.permutations)
     shingle_cache: dict = {}
     token_cache: dict = {}
 
-    @F.pandas_udf("simhash bigint, n_shingles int, buckets array<bigint>")
+    @F.pandas_udf("simhash bigint, n_shingles int, buckets array<bigint>, sketch binary")
     def features(texts: pd.Series) -> pd.DataFrame:
         hashed = list(minhashes(texts, size, a, b, shingle_cache))
         return pd.DataFrame(
@@ -159,6 +160,7 @@ def fingerprint(normalized: Column, params: Params = DEFAULT) -> Column:
                 "simhash": [simhash_value((text or "").split(), token_cache) for text in texts],
                 "n_shingles": [n for n, _ in hashed],
                 "buckets": [band_hashes(values, rows) if n else [] for n, values in hashed],
+                "sketch": [sized_sketch(ids_of(text or "", size)) for text in texts],
             }
         )
 

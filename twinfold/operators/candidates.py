@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinfold.functions import shingle_sets
 from twinfold.functions import similarity as sim
 from twinfold.operators.features import with_normalized
 from twinfold.operators.joins import join_groups, split_pairs
+from twinfold.operators.set_join import UNIT, score_pairs
 from twinfold.params import DEFAULT, Params
 from twinfold.session import materialize
 
 # Members of one bucket compared within one task.
 CHUNK = 2_000
 
-# A pair is a few bytes here but milliseconds of work, so tasks are cut by pair count.
-PAIRS_PER_TASK = 20_000
-
 
 def bucket_rows(texts: DataFrame, *extra: str) -> DataFrame:
     """One row per (bucket, distinct text)."""
@@ -51,7 +50,7 @@ def pair_columns(rows: DataFrame) -> list[str]:
 
 
 def bucket_pairs(members: DataFrame, threshold: float = 0.0, chunk: int = CHUNK) -> DataFrame:
-    """Pairs of distinct texts per shared bucket.
+    """Pairs of distinct texts per shared bucket; ``unit`` names a bounded part of the bucket that holds both.
 
     Pairs whose sizes rule ``threshold`` out are left out, and so are pairs without a fresh text.
     """
@@ -60,13 +59,15 @@ def bucket_pairs(members: DataFrame, threshold: float = 0.0, chunk: int = CHUNK)
         pairs = pairs.where(sim.size_ratio(F.col("n_shingles_a"), F.col("n_shingles_b")) >= threshold)
     if "fresh" in members.columns:
         pairs = pairs.where("fresh_a OR fresh_b")
-    return pairs.drop("members_a", "members_b")
+    parts = F.ceil(F.col("members_a") / UNIT)
+    part = [F.pmod(F.xxhash64(f"article_id_{end}"), parts) for end in "ab"]
+    return pairs.withColumn("unit", F.xxhash64("bucket", *part)).drop("members_a", "members_b")
 
 
 def candidate_pairs(members: DataFrame, threshold: float = 0.0, chunk: int = CHUNK) -> DataFrame:
-    """Distinct candidate pairs with the number of bands they share."""
+    """Distinct candidate pairs with the number of bands they share and one ``unit`` for their comparison."""
     pairs = bucket_pairs(members, threshold, chunk)
-    return pairs.groupBy(*pair_columns(members)).agg(F.count("*").alias("shared_bands"))
+    return pairs.groupBy(*pair_columns(members)).agg(F.count("*").alias("shared_bands"), F.min("unit").alias("unit"))
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -78,50 +79,6 @@ def hamming_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("distance", sim.hamming(F.col("simhash_a"), F.col("simhash_b")))
 
 
-def pair_texts(pairs: DataFrame, articles: DataFrame) -> DataFrame:
-    """Normalised text of every article in stored ``pairs``, with its number of pairs.
-
-    When pairs know the stored ``batch`` of their articles, only those batches are read.
-    """
-    keys = ["article_id", "batch"] if "batch_a" in pairs.columns else ["article_id"]
-    ends = [F.struct(*[F.col(f"{k}_{end}").alias(k) for k in keys]) for end in "ab"]
-    degree = pairs.select(F.explode(F.array(*ends)).alias("e")).groupBy("e").agg(F.count("*").alias("degree"))
-    found = articles.select(*keys, "title", "content").join(degree.select("e.*", "degree"), keys)
-    return with_normalized(found).select("article_id", "normalized", "degree")
-
-
-def spread(pairs: DataFrame, count: int) -> DataFrame:
-    """Pairs over enough tasks for the work they stand for."""
-    cores = pairs.sparkSession.sparkContext.defaultParallelism
-    return pairs.repartition(max(count // PAIRS_PER_TASK, min(count // 10, 4 * cores), 1))
-
-
-def score_pairs(pairs: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Stored candidate pairs with their exact Jaccard ``score``, stored.
-
-    Only the texts of candidates are fetched, once; shingle arrays exist per pair
-    inside a task and are never shuffled.
-    """
-    texts = materialize(pair_texts(pairs, articles))
-
-    def side(name: str) -> DataFrame:
-        return texts.select(
-            F.col("article_id").alias(f"article_id_{name}"),
-            F.col("normalized").alias(f"text_{name}"),
-            F.col("degree").alias(f"degree_{name}"),
-        )
-
-    count = pairs.count()
-    joined = join_groups(spread(pairs, count), side("a"), ["article_id_a"], "degree_a", total=count).drop("degree_a")
-    joined = join_groups(joined, side("b"), ["article_id_b"], "degree_b", total=count).drop("degree_b")
-    size = params.shingle_size
-    common = sim.overlap(sim.shingles(F.col("text_a"), size), sim.shingles(F.col("text_b"), size))
-    # Two steps: the score uses the overlap three times, and it must be computed once.
-    counted = joined.select(*pairs.columns, common.alias("common"))
-    score = sim.jaccard_from_counts(F.col("common"), F.col("n_shingles_a"), F.col("n_shingles_b"))
-    return materialize(counted.withColumn("score", score).drop("common"))
-
-
 def scores_against(pairs: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Stored ``(article_id, rep_id)`` rows with the Jaccard ``score`` of the two texts, stored.
 
@@ -135,19 +92,14 @@ def scores_against(pairs: DataFrame, articles: DataFrame, params: Params = DEFAU
     sizes = pairs.groupBy(*rep_keys).agg(F.count("*").alias("size"))
     reps = sizes.join(text.toDF(*rep_keys, "rep"), rep_keys).select("rep_id", "rep", "size")
     joined = join_groups(own, reps, ["rep_id"], "size")
-    pieces = [F.array_distinct(sim.shingles(F.col(name), params.shingle_size)).alias(name) for name in ("own", "rep")]
-    counts = joined.select("article_id", "rep_id", *pieces).select(
-        "article_id", "rep_id", sim.overlap(F.col("own"), F.col("rep")).alias("common"),
-        F.size("own").alias("n_own"), F.size("rep").alias("n_rep"),
-    )
-    score = sim.jaccard_from_counts(F.col("common"), F.col("n_own"), F.col("n_rep"))
-    return materialize(counts.select("article_id", "rep_id", score.alias("score")))
+    score = shingle_sets.text_similarity(F.col("own"), F.col("rep"), params.shingle_size)
+    return materialize(joined.select("article_id", "rep_id", score.alias("score")))
 
 
 def similar_pairs(texts: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Candidate pairs with Jaccard at or above the threshold."""
     pairs = materialize(candidate_pairs(stored_members(texts, params), params.threshold))
-    return score_pairs(pairs, articles, params).where(F.col("score") >= params.threshold)
+    return score_pairs(pairs, articles, params, texts, params.threshold)
 
 
 def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
@@ -240,8 +192,11 @@ def classify_articles(
 ) -> DataFrame:
     """Verdict per article against its candidates: duplicate 1.0, similar with best score, or unique 0.0."""
     pairs = materialize(hamming_pairs(candidates(texts)))
-    scored = score_pairs(pairs, articles, params)
-    verdict = both_ways(scored, "distance", "score").groupBy("article_id").agg(
+    # A score below the threshold changes no verdict, so only pairs that may reach it are compared.
+    likely = pairs.where(sim.size_ratio(F.col("n_shingles_a"), F.col("n_shingles_b")) >= params.threshold)
+    scored = score_pairs(materialize(likely), articles, params, texts, params.threshold).select("article_id_a", "article_id_b", "distance", "score")
+    near = pairs.where(F.col("distance") <= params.hamming).select("article_id_a", "article_id_b", "distance", F.lit(None).cast("double").alias("score"))
+    verdict = both_ways(scored.unionByName(near), "distance", "score").groupBy("article_id").agg(
         F.max((F.col("distance") <= params.hamming).cast("int")).alias("near"),
         F.max("score").alias("best"),
     )

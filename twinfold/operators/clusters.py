@@ -17,6 +17,9 @@ from twinfold.operators.joins import join_groups, keep_ids
 from twinfold.params import DEFAULT, Params
 from twinfold.session import materialize
 
+# Texts of a bucket whose pairs are listed; it decides on the way, not on the result.
+LISTED = 64
+
 
 def cluster_name(article_id: Column) -> Column:
     return F.concat(F.lit("cluster_"), article_id)
@@ -32,28 +35,36 @@ def simhash_star(texts: DataFrame) -> DataFrame:
 
 
 def verified_edges(
-    rows: DataFrame, articles: DataFrame, params: Params, links: DataFrame | None = None, total: int | None = None
+    rows: DataFrame, articles: DataFrame, params: Params, links: DataFrame | None = None, total: int | None = None,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Verified pairs of distinct texts that connect all that their buckets connect, with their ``score``.
 
     ``rows`` are bucket rows; with a ``fresh`` column only pairs with a fresh text count.
-    Not every similar pair is among them, but their components are those of all similar pairs, and
-    buckets of any size are treated alike. ``links(u, v)`` are connections between
-    article ids that are known already and need no comparison. ``total`` bounds the rows.
+    Not every similar pair is among them, but their components are those of all similar pairs. Buckets of up to
+    ``LISTED`` texts list their pairs; in larger ones texts are compared with one of them first, and only what that
+    leaves open with each other. ``links(u, v)`` are connections between
+    article ids that are known already and need no comparison. ``total`` bounds the rows;
+    ``sketches(article_id, sketch)`` spare the comparison of texts that they show to be too different.
     """
     members = materialize(cand.bucket_members(rows, total))
-    pairs = materialize(hot_buckets.pivot_pairs(members, params.threshold))
-    keep = F.col("score") >= params.threshold
-    edges = cand.score_pairs(pairs, articles, params).where(keep)
-    larger = members.where("members > 2")
-    if larger.isEmpty():  # the one pair of a bucket of two has been compared
+    small = F.col("members") <= LISTED
+    listed = materialize(cand.candidate_pairs(members.where(small), params.threshold))
+    edges = cand.score_pairs(listed, articles, params, sketches, params.threshold)
+    larger = members.where(~small)
+    if larger.isEmpty():
         return edges
+    columns = cand.pair_columns(members)
+    pairs = hot_buckets.pivot_pairs(larger, params.threshold).join(listed, ["article_id_a", "article_id_b"], "left_anti")
+    pairs = materialize(pairs.select(*columns))
+    edges = edges.select(*columns, "score").unionByName(cand.score_pairs(pairs, articles, params, sketches, params.threshold))
     known = edges.select(F.col("article_id_a").alias("u"), F.col("article_id_b").alias("v"))
     if links is not None:
         known = known.unionByName(keep_ids(links, members.select(F.col("article_id").alias("u")), "u"))
     labels = connected_components(known).select(F.col("node").alias("article_id"), F.col("component").alias("label"))
-    more = materialize(hot_buckets.open_pairs(larger, labels, pairs, articles, params))
-    return edges.unionByName(cand.score_pairs(more, articles, params).where(keep))
+    done = listed.select(*columns).unionByName(pairs)
+    more = materialize(hot_buckets.open_pairs(larger, labels, done, articles, params))
+    return edges.unionByName(cand.score_pairs(more, articles, params, sketches, params.threshold))
 
 
 @dataclass
@@ -138,7 +149,7 @@ def cluster(articles: DataFrame, params: Params = DEFAULT, verify_exact: bool =
     features = materialize(extract_features(articles, params))
     texts = materialize(text_groups(features))
     links = None if verify_exact else simhash_star(texts)
-    edges = verified_edges(cand.bucket_rows(texts), articles, params, links, texts.count() * params.bands)
+    edges = verified_edges(cand.bucket_rows(texts), articles, params, links, texts.count() * params.bands, texts)
     nodes = node_results(texts, edges, articles, params, verify_exact)
     return Clustering(features, texts, edges, assign_clusters(features, nodes))
 
@@ -232,7 +243,7 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     shortcut is not taken. Other articles keep their cluster unless it is merged. Scores follow
     ``cluster_scores``; only clusters that lost, got or merged articles are scored. ``assigned`` must be stored.
     """
-    fields = ["article_id", "text_key", "simhash", "n_shingles", "buckets"]
+    fields = ["article_id", "text_key", "simhash", "n_shingles", "buckets", "sketch"]
     fresh = materialize(extract_features(keep_ids(articles, ids), params).select(*fields))
     kept = assigned.join(ids.select("article_id"), "article_id", "left_anti").select(
         *fields, "cluster_id", "similarity_score"
@@ -251,7 +262,7 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     again = rows.groupBy("text_key").agg(F.max("again").alias("fresh"))
     texts = materialize(text_groups(rows).where("n_shingles > 0").join(again, "text_key"))
     by_cluster = near_rows.where("cluster_id IS NOT NULL").select(F.col("article_id").alias("u"), F.col("cluster_id").alias("v"))
-    edges = verified_edges(cand.bucket_rows(texts, "fresh"), articles, params, by_cluster, total * params.bands)
+    edges = verified_edges(cand.bucket_rows(texts, "fresh"), articles, params, by_cluster, total * params.bands, texts)
     ends = F.array(
         F.struct(F.col("article_id_a").alias("article_id"), "score"),
         F.struct(F.col("article_id_b").alias("article_id"), "score"),

@@ -9,58 +9,45 @@ from twinfold.operators.joins import join_groups
 from twinfold.session import materialize
 
 
-def _with_smallest(edges: DataFrame, total: int) -> DataFrame:
-    """Edges with ``m``, the smallest node of ``u`` and its neighbours.
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """``(u, m, degree)``: ``m`` is the smallest of ``u`` and its neighbours. Combined before the shuffle."""
+    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
 
-    The minimum is combined before the shuffle, and rows of a node with very many
-    neighbours are salted.
-    """
-    smallest = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-    return join_groups(edges, smallest, ["u"], "degree", total=total)
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def large_star(edges: DataFrame, total: int) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest node around it."""
-    ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = _with_smallest(ends, 2 * total)
+def large_star(ends: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """Link every larger neighbour of a node to the smallest node around it; rows of a node with very many neighbours are salted."""
+    linked = join_groups(ends, nodes, ["u"], "degree", total=total)
     return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them; every ``v`` is below its ``u``."""
-    linked = _with_smallest(edges, total)
+    linked = join_groups(edges, _neighbours(edges), ["u"], "degree", total=total)
     # The row of the smallest neighbour itself carries the link of ``u``.
     moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
     return linked.select(moved.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(u, v)``; component = smallest node.
+    """``(node, component)`` for every node of ``edges(u, v)``, stored; component = smallest node.
 
+    The nodes with the smallest node around them, which each round starts from, also tell whether it is the last one:
+    all nodes are the smallest around them or have one neighbour only, so the edges are stars.
     Each round is written to the shared folder, so a lost executor costs one round.
     """
     current = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     for _ in range(max_rounds):
-        settled, total = _shape(current)
-        if settled:
-            leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            centres = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return leaves.unionByName(centres)
-        current = materialize(small_star(large_star(current, total), total))
+        ends = both_ways(current)
+        nodes = materialize(_neighbours(ends))
+        open_ = F.coalesce(F.max((F.col("m") != F.col("u")) & (F.col("degree") > 1)), F.lit(False))
+        state = nodes.agg(open_.alias("open"), F.coalesce(F.sum("degree"), F.lit(0)).alias("total")).first()
+        if not state["open"]:
+            return nodes.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        current = materialize(small_star(large_star(ends, nodes, state["total"]), state["total"]))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _shape(edges: DataFrame) -> tuple[bool, int]:
-    """Whether every ``u`` has one ``v`` and no ``v`` hangs on another node; and the edge count."""
-    ends = F.array(
-        F.struct(F.col("u").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("held")),
-        F.struct(F.col("v").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("held")),
-    )
-    roles = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(
-        F.sum("e.links").alias("links"), F.max("e.held").alias("held")
-    )
-    broken = F.max((F.col("links") + F.col("held") > 1).cast("int"))
-    row = roles.agg(broken.alias("broken"), F.coalesce(F.sum("links"), F.lit(0)).alias("total")).first()
-    return not row["broken"], row["total"]

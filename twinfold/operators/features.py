@@ -16,10 +16,10 @@ def with_normalized(articles: DataFrame) -> DataFrame:
 
 
 def extract_features(articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Articles without their text, plus ``text_key, simhash, n_shingles, buckets``.
+    """Articles without their text, plus ``text_key, simhash, n_shingles, buckets, sketch``.
 
     ``simhash`` is a signed 64-bit number, ``buckets`` the 20 (band, hash) numbers,
-    ``text_key`` the md5 of the normalised text. No shuffle.
+    ``text_key`` the md5 of the normalised text; ``sketch`` bounds what two texts have in common. No shuffle.
     """
     keep = [c for c in articles.columns if c not in ("title", "content")]
     rows = with_normalized(articles).select(
@@ -27,7 +27,7 @@ def extract_features(articles: DataFrame, params: Params = DEFAULT) -> DataFrame
         F.unhex(F.md5("normalized")).alias("text_key"),
         fp.fingerprint(F.col("normalized"), params).alias("f"),
     )
-    return rows.select(*keep, "title", "text_key", "f.simhash", "f.n_shingles", "f.buckets")
+    return rows.select(*keep, "title", "text_key", "f.simhash", "f.n_shingles", "f.buckets", "f.sketch")
 
 
 def public_features(features: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def public_features(features: DataFrame) -> DataFrame:
             "simhash": sim.simhash_hex(F.col("simhash")),
             "minhash_signature": F.transform("buckets", sim.band_hex),
         }
-    ).drop("buckets", "text_key")
+    ).drop("buckets", "text_key", "sketch")
 
 
 def text_groups(features: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def text_groups(features: DataFrame) -> DataFrame:
     Copies share every fingerprint, so all later pair work runs on distinct texts.
     The minimum is combined before the shuffle, so a text with very many copies is cheap.
     """
-    first = F.min(F.struct("article_id", "simhash", "n_shingles", "buckets")).alias("first")
+    first = F.min(F.struct("article_id", "simhash", "n_shingles", "buckets", "sketch")).alias("first")
     return (
         features.groupBy("text_key")
         .agg(first, F.count("*").alias("copies"))

@@ -7,24 +7,28 @@ n(n-1)/2 comparisons:
 2. members in one component by now need no comparison with each other;
 3. members of different components are compared only if they can still reach the
    threshold: sets with Jaccard >= t share a shingle among their
-   n - ceil(t n) + 1 rarest ones (prefix filter), in any common order of shingles.
+   n - ceil(t n) + 1 rarest ones (prefix filter), in any common order of shingles: a sample says which are frequent.
 
 All candidate pairs at or above the threshold end up in one component, exactly as
-if every pair had been compared. Buckets of all sizes take the same steps.
+if every pair had been compared. In buckets of a few hundred members step 3 lists the pairs, which costs less
+than the filter; sketches then rule out what the filter would have.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions import similarity as sim
 from twinfold.operators.candidates import CHUNK, pair_columns
-from twinfold.operators.features import with_normalized
-from twinfold.operators.joins import join_groups, keep_ids
+from twinfold.operators.joins import join_groups, split_pairs
+from twinfold.operators.set_join import prefix_rows
 from twinfold.params import Params
 from twinfold.session import materialize
 
+# Members of a bucket whose pairs across components are listed before sketches decide on them.
+LISTED = 256
+
 
 def pivot_pairs(hot: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Each member of a bucket with the bucket's smallest id, as candidate pairs that sizes do not rule out."""
@@ -39,26 +43,19 @@ def pivot_pairs(hot: DataFrame, threshold: float = 0.0) -> DataFrame:
     return pairs.select(*pair_columns(hot)).distinct()
 
 
-def rare_shingles(articles: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
-    """The rarest shingles of each given article that decide whether a pair can reach the threshold."""
-    texts = with_normalized(keep_ids(articles.select("article_id", "title", "content"), ids))
-    pieces = F.array_distinct(sim.shingles(F.col("normalized"), params.shingle_size)).alias("pieces")
-    # Sized before it is exploded: beside the generator, the array would be built again for every row of it.
-    sized = texts.select("article_id", pieces).select("article_id", F.size("pieces").alias("n"), "pieces")
-    rows = sized.select("article_id", "n", F.explode("pieces").alias("shingle"))
-    frequency = rows.groupBy("shingle").agg(F.count("*").alias("texts"))
-    ranked = join_groups(rows, frequency, ["shingle"], "texts").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("article_id").orderBy("texts", "shingle"))
-    )
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(params.threshold) * F.col("n") - 1e-6) + 1).select(
-        "article_id", "shingle"
-    )
+def _possible(threshold: float) -> Column:
+    """Whether sets can be similar that have no common element before their places ``i`` of this one."""
+    left = F.least(F.col("n_shingles_x") - F.col("i_x"), F.col("n_shingles_y") - F.col("i_y"))
+    # common / (n + m - common) >= threshold; common is at most what is left of either.
+    return left * (1 + threshold) >= (F.col("n_shingles_x") + F.col("n_shingles_y")) * threshold - 1e-6
 
 
 def open_pairs(hot: DataFrame, labels: DataFrame, done: DataFrame, articles: DataFrame, params: Params) -> DataFrame:
-    """Candidate pairs across components that the prefix filter cannot rule out, without the pairs ``done``.
+    """Candidate pairs across components that can still be similar, without the pairs ``done``.
 
-    ``labels(article_id, label)`` gives the component of each member so far.
+    ``labels(article_id, label)`` gives the component of each member so far. Buckets of up to ``LISTED`` members list
+    their pairs, which is linear in their rows; larger ones go through the prefix filter. Either way no similar
+    pair is left out, so the choice changes the work only.
     """
     values = [c for c in hot.columns if c not in ("bucket", "members")]
     member = hot.groupBy(*values).agg(F.collect_set("bucket").alias("buckets"))
@@ -72,11 +69,26 @@ def open_pairs(hot: DataFrame, labels: DataFrame, done: DataFrame, articles: Dat
         .where("low <> high")
         .select("bucket", "members")
     )
-    unsettled = materialize(
-        join_groups(hot.select("bucket", "article_id"), mixed, ["bucket"], "members").select("article_id").distinct()
-    )
+    rows = materialize(join_groups(hot.drop("members"), mixed, ["bucket"], "members"))
+    rows = rows.join(member.select("article_id", "label"), "article_id")
+    few = split_pairs(rows.where(F.col("members") <= LISTED), ["bucket"], "members", "article_id", CHUNK)
+    few = few.where("label_a <> label_b").where(sim.size_ratio(F.col("n_shingles_a"), F.col("n_shingles_b")) >= params.threshold)
+    if "fresh" in hot.columns:
+        few = few.where("fresh_a OR fresh_b")
+    described = [F.col(c) for c in pair_columns(hot)]
+    listed = few.select(*described).distinct()
+    unsettled = materialize(rows.where(F.col("members") > LISTED).select("article_id").distinct())
+    if not unsettled.isEmpty():
+        listed = listed.unionByName(prefix_pairs(hot, member, unsettled, articles, params)).distinct()
+    return listed.join(done.select("article_id_a", "article_id_b"), ["article_id_a", "article_id_b"], "left_anti").select(*described)
+
+
+def prefix_pairs(hot: DataFrame, member: DataFrame, unsettled: DataFrame, articles: DataFrame, params: Params) -> DataFrame:
+    """Pairs of ``unsettled`` texts across components that share a bucket and one of their rarest shingles."""
+    values = [c for c in hot.columns if c not in ("bucket", "members")]
     labelled = member.select("article_id", "n_shingles", "label")
-    rare = materialize(rare_shingles(articles, unsettled, params).join(labelled, "article_id"))
+    sizes = materialize(labelled.join(unsettled, "article_id").select("article_id", "n_shingles"))
+    rare = materialize(prefix_rows(articles, sizes, params).select("article_id", "i", "shingle").join(labelled, "article_id"))
     # Only pairs across components: of each shingle's holders, those outside its largest
     # component against all, both in chunks. Rows carry ids; all else is joined to the pairs.
     groups = (
@@ -87,7 +99,7 @@ def open_pairs(hot: DataFrame, labels: DataFrame, done: DataFrame, articles: Dat
         .select("shingle", "holders", (F.col("holders") - F.col("top.n")).alias("others"), F.col("top.label").alias("main"))
     )
     shared = materialize(join_groups(rare, groups, ["shingle"], "holders"))
-    carried = ["article_id", "n_shingles", "label"]
+    carried = ["article_id", "n_shingles", "i", "label"]
     all_chunks, other_chunks = (F.ceil(F.col(n) / F.lit(CHUNK)).cast("int") for n in ("holders", "others"))
 
     def place(chunks: Column) -> Column:
@@ -105,10 +117,9 @@ def open_pairs(hot: DataFrame, labels: DataFrame, done: DataFrame, articles: Dat
     ids = (
         outside.join(holders, ["shingle", "_c", "_d"])
         .where("label_x <> label_y AND (label_y = main OR article_id_x < article_id_y)")
-        .where(sim.size_ratio(F.col("n_shingles_x"), F.col("n_shingles_y")) >= params.threshold)
+        .where(_possible(params.threshold))
         .select(F.least("article_id_x", "article_id_y").alias("article_id_a"), F.greatest("article_id_x", "article_id_y").alias("article_id_b"))
         .distinct()
-        .join(done.select("article_id_a", "article_id_b"), ["article_id_a", "article_id_b"], "left_anti")
     )
     pairs = ids
     for end in "ab":

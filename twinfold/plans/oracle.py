@@ -254,6 +254,16 @@ ORACLE: dict[str, str] = {
     "text_members": _sql("nrm", """
         SELECT article_id, min(article_id) OVER (PARTITION BY norm) AS representative, count(*) OVER (PARTITION BY norm) AS copies FROM nrm"""),
     "cluster_articles": _sql("assigned", f"SELECT {_STATE} FROM assigned"),
+    "cluster_articles_exact": _sql("art verified nrm sets", """
+        , e AS (SELECT a AS u, b AS v FROM verified UNION ALL SELECT b, a FROM verified),
+        walk AS (SELECT * FROM (
+          WITH RECURSIVE r AS (SELECT u, least(u, v) AS l FROM e UNION SELECT e.v, r.l FROM r JOIN e ON e.u = r.u) SELECT * FROM r))
+        SELECT article_id, 'cluster_' || root AS cluster_id, CASE WHEN root IS NULL THEN 'unique' ELSE 'matched' END AS cluster_status,
+               CASE WHEN root IS NULL THEN NULL WHEN article_id = root OR count(*) OVER (PARTITION BY norm) > 1 THEN 1.0
+                 ELSE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))::DOUBLE END::DOUBLE AS similarity_score
+        FROM art LEFT JOIN (SELECT u AS article_id, min(l) AS root FROM walk GROUP BY u) USING (article_id)
+        LEFT JOIN nrm USING (article_id) LEFT JOIN sets x USING (article_id)
+        LEFT JOIN (SELECT article_id AS root, s FROM sets) y USING (root)"""),
     "clusters": _sql("heads terms", """
         SELECT cluster_id, size, representative AS representative_article_id,
                coalesce(top_terms, '') AS top_terms, created AS created_epoch, updated AS updated_epoch
@@ -345,6 +355,22 @@ ORACLE: dict[str, str] = {
     "cluster_consistency": _sql("assigned heads", """
         SELECT cluster_id, claimed, size AS listed, greatest(claimed - size, 0) AS missing
         FROM heads FULL JOIN (SELECT cluster_id, count(*) AS claimed FROM assigned WHERE cluster_id IS NOT NULL GROUP BY 1) USING (cluster_id)"""),
+    "lsh_recall": _sql("reps sets cand", """
+        , kept AS (SELECT article_id, s, len(s) AS n FROM reps JOIN sets USING (article_id) WHERE len(s) > 0),
+        el AS (SELECT article_id, n, unnest(s) AS g FROM kept),
+        freq AS (SELECT g, count(*) AS f FROM el GROUP BY g),
+        rare AS (SELECT article_id, n, g, row_number() OVER (PARTITION BY article_id ORDER BY f, g) AS r FROM el JOIN freq USING (g)),
+        pre AS (SELECT * FROM rare WHERE r <= n - ceil(0.8 * n - 1e-6) + 1),
+        near AS (
+          SELECT DISTINCT x.article_id AS a, y.article_id AS b FROM pre x JOIN pre y
+          ON x.g = y.g AND x.article_id < y.article_id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-6),
+        common AS (
+          SELECT a, b, x.n AS n, y.n AS m, len(list_intersect(x.s, y.s))::DOUBLE AS c
+          FROM near JOIN kept x ON x.article_id = a JOIN kept y ON y.article_id = b),
+        alike AS (SELECT a, b, c / (n + m - c) AS score FROM common WHERE c / (n + m - c) >= 0.8)
+        SELECT CAST(least(floor(score * 20), 19) * 5 AS BIGINT) AS from_percent, count(*) AS pairs, count(shared) AS found,
+               count(shared) / count(*) AS recall
+        FROM alike LEFT JOIN cand USING (a, b) GROUP BY 1"""),
     "title_self_search": _sql("titles", """
         SELECT q.article_id, rank IS NOT NULL AS found, rank FROM titles q LEFT JOIN (
           SELECT article_id, 1 + (SELECT count(*) FROM titles d WHERE list_has_all(d.tokens, x.tokens) AND (d.published > x.published OR (d.published = x.published AND d.article_id < x.article_id))) AS rank

@@ -16,7 +16,7 @@ from twinfold.functions import text as tx
 from twinfold.operators import candidates as cand
 from twinfold.operators import clusters as cl
 from twinfold.operators import features as ft
-from twinfold.operators import lookups, reports, search
+from twinfold.operators import lookups, reports, search, set_join
 from twinfold.operators.joins import join_groups, keep_ids
 from twinfold.session import configure, materialize, shared_folder
 from twinfold.sources import articles as src
@@ -380,6 +380,12 @@ def cluster_articles(spark, sf_dir):
     return ids_and_state(assigned(spark, sf_dir))
 
 
+@query
+def cluster_articles_exact(spark, sf_dir):
+    """Clusters of equal texts and verified pairs alone, without the equal-SimHash shortcut."""
+    return ids_and_state(cl.cluster_articles(src.with_id_lists(articles(spark, sf_dir)), verify_exact=True))
+
+
 @query
 def clusters(spark, sf_dir):
     terms = F.transform("top_terms", lambda t: F.concat_ws("=", t["term"], F.format_number(t["weight"], 3)))
@@ -614,7 +620,8 @@ def incremental_clusters(spark, sf_dir):
     """The whole corpus as four micro-batches in order of publish time."""
     import uuid
 
-    week = F.least(F.floor((epoch("publish_time") - 1704067200) / (8 * 86400)), F.lit(3))
+    week = F.floor((epoch("publish_time") - 1704067200) / (8 * 86400))
+    week = F.least(F.greatest(F.coalesce(week, F.lit(0)), F.lit(0)), F.lit(3))  # earlier times belong to the first, later ones to the last
     rows = articles(spark, sf_dir).withColumn("week", week)
     state = IncrementalClusters(spark, f"{shared_folder(spark)}/twinfold/{uuid.uuid4().hex}")
     for batch in range(4):
@@ -650,6 +657,13 @@ def cluster_consistency(spark, sf_dir):
     return reports.cluster_consistency(assigned(spark, sf_dir), cluster_table(spark, sf_dir))
 
 
+@query
+def lsh_recall(spark, sf_dir):
+    """What the bands miss: all similar pairs of distinct texts, found without them, against the candidates."""
+    similar = set_join.similar_text_pairs(texts(spark, sf_dir), articles(spark, sf_dir))
+    return reports.lsh_recall(set_join.found_by(similar, texts(spark, sf_dir)))
+
+
 @query
 def title_self_search(spark, sf_dir):
     return reports.title_self_search(articles(spark, sf_dir))

@@ -94,7 +94,7 @@ class IncrementalClusters:
         articles = self._write("articles", batch, latest.join(known, "article_id", "left_anti"))
 
         features = materialize(
-            extract_features(articles, self.params).select("article_id", "text_key", "simhash", "n_shingles", "buckets")
+            extract_features(articles, self.params).select("article_id", "text_key", "simhash", "n_shingles", "buckets", "sketch")
         )
         texts = materialize(text_groups(features))
         groups = materialize(
