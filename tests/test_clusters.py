@@ -164,6 +164,47 @@ def test_recheck_of_some(spark, articles):
     assert {k: r.similarity_score for k, r in found.items()} == {k: scores.get(k) for k in TEXTS}
 
 
+def test_recheck_splits_a_cluster_without_its_bridge(spark):
+    """a ~ b ~ c ~ d in a chain and an equal-SimHash pair: without b and e the rest falls apart, and b joins a again."""
+    import random
+
+    rnd = random.Random(12)
+
+    def words(n):
+        return ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n)]
+
+    def near(first, changes, at):
+        return first[:at] + words(changes) + first[at + changes :]
+
+    a = words(100)
+    b = near(a, 6, 10)
+    c = near(b, 6, 40)
+    d = near(c, 2, 70)
+    other = words(60)
+    turned = list(reversed(other))
+    texts = {"a": a, "b": b, "c": c, "d": d, "e": other, "f": turned, "g": words(50)}
+    rows = [(k, "", " ".join(v)) for k, v in texts.items()]
+    plain = {k: f" {v}".strip() for k, _, v in rows}
+    assert set(brute.edges(plain, exact=False)) >= {("a", "b"), ("b", "c"), ("c", "d")}
+    assert ("a", "c") not in brute.edges(plain, exact=False) and ("a", "d") not in brute.edges(plain, exact=False)
+    articles = materialize(brute.frame(spark, rows))
+    stored = materialize(cl.cluster_articles(articles))
+    assert {r.article_id: r.cluster_id for r in stored.collect()} == {
+        "a": "cluster_a", "b": "cluster_a", "c": "cluster_a", "d": "cluster_a", "e": "cluster_e", "f": "cluster_e", "g": None}
+    # b is now a text of its own.
+    changed = materialize(brute.frame(spark, [r if r[0] != "b" else ("b", "", " ".join(words(90))) for r in rows]))
+    ids = materialize(spark.createDataFrame([("b",), ("e",)], "article_id string"))
+    whole = {r.article_id: r.cluster_id for r in cl.recheck(stored, changed, ids).collect()}
+    assert whole == {"a": "cluster_a", "b": None, "c": "cluster_a", "d": "cluster_a", "e": None, "f": "cluster_e", "g": None}
+    found = {r.article_id: r for r in cl.recheck(stored, changed, ids, split=True).collect()}
+    assert {k: r.cluster_id for k, r in found.items()} == {
+        "a": None, "b": None, "c": "cluster_c", "d": "cluster_c", "e": None, "f": None, "g": None}
+    near_cd = brute.jaccard(brute.shingles(plain["c"]), brute.shingles(plain["d"]))
+    assert {k: r.similarity_score for k, r in found.items()} == {
+        "a": None, "b": None, "c": 1.0, "d": near_cd, "e": None, "f": None, "g": None}
+    assert {k: r.cluster_status for k, r in found.items()} == {k: "matched" if k in "cd" else "unique" for k in texts}
+
+
 def test_cluster_records(articles):
     stored = materialize(cl.cluster_articles(with_id_lists(articles).withColumns(
         {"created_at": F.col("publish_time"), "updated_at": F.col("publish_time")}

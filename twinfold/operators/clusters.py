@@ -235,12 +235,44 @@ def best_cluster(similar: DataFrame) -> DataFrame:
     return averages.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
-def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def split_left(kept: DataFrame, left: DataFrame, articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """``kept`` with the clusters in stored ``left``, which have lost members, computed again from those that remain.
+
+    Only those clusters are compared. Members that nothing else connects fall apart: the part with the
+    cluster's smallest remaining article id keeps the cluster's id, another one is named after its own smallest
+    article id, and an article alone has no cluster.
+    """
+    rest = materialize(keep_ids(kept.where("cluster_id IS NOT NULL"), left, "cluster_id"))
+    if rest.isEmpty():
+        return kept
+    texts = materialize(text_groups(rest))
+    edges = verified_edges(cand.bucket_rows(texts), articles, params, simhash_star(texts), None, texts)
+    found = article_components(rest, texts, edges)
+    parts = materialize(rest.select("article_id", "cluster_id").join(found, "article_id", "left"))
+    # A part lies in one cluster: parts are not merged here.
+    heads = parts.groupBy("cluster_id", "component").agg(F.min("article_id").alias("first_id"), F.count("*").alias("size"))
+    heads = materialize(heads.where("component IS NOT NULL AND size > 1"))
+    firsts = parts.groupBy("cluster_id").agg(F.min("article_id").alias("cluster_first"))
+    named = heads.join(firsts, "cluster_id").select(
+        "cluster_id", "component", "size",
+        F.when(F.col("first_id") == F.col("cluster_first"), F.col("cluster_id")).otherwise(cluster_name(F.col("first_id"))).alias("part_id"),
+    )
+    renamed = materialize(join_groups(parts, materialize(named), ["cluster_id", "component"], "size", how="left").select("article_id", "part_id"))
+    moved = rest.join(renamed, "article_id").withColumn("cluster_id", F.col("part_id"))
+    moved = moved.withColumn("similarity_score", F.when(F.col("part_id").isNotNull(), F.col("similarity_score"))).drop("part_id")
+    others = kept.join(rest.select("article_id"), "article_id", "left_anti")
+    return materialize(others.unionByName(moved.select(*others.columns)))
+
+
+def recheck(
+    assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Params = DEFAULT, split: bool = False
+) -> DataFrame:
     """Cluster the articles in ``ids`` again from their current text; the new state of every article.
 
     The given articles leave their clusters, get new fingerprints and candidates among
     all articles, and join or merge the clusters of the verified ones. The equal-SimHash
-    shortcut is not taken. Other articles keep their cluster unless it is merged. Scores follow
+    shortcut is not taken. Other articles keep their cluster unless it is merged; with ``split`` a cluster
+    that the leaving articles held together falls into its parts first. Scores follow
     ``cluster_scores``; only clusters that lost, got or merged articles are scored. ``assigned`` must be stored.
     """
     fields = ["article_id", "text_key", "simhash", "n_shingles", "buckets", "sketch"]
@@ -248,6 +280,12 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
     kept = assigned.join(ids.select("article_id"), "article_id", "left_anti").select(
         *fields, "cluster_id", "similarity_score"
     )
+    left = materialize(
+        keep_ids(assigned.where("cluster_id IS NOT NULL").select("article_id", "cluster_id"), ids).select("cluster_id").distinct()
+    )
+    before = kept
+    if split:
+        kept = split_left(kept, left, articles, params)
     # Only articles that share a bucket with a rechecked one can be concerned.
     wanted = materialize(fresh.select(F.explode("buckets").alias("bucket")).distinct())
     near = keep_ids(kept.select(F.explode("buckets").alias("bucket"), "article_id"), wanted, "bucket")
@@ -309,7 +347,10 @@ def recheck(assigned: DataFrame, articles: DataFrame, ids: DataFrame, params: Pa
         state.join(found.select("article_id", "new_id"), "article_id", "left")
         .withColumn("cluster_id", F.coalesce("new_id", "merged_id", "cluster_id")).select(*fields, "cluster_id", "similarity_score")
     )
-    left = keep_ids(assigned.where("cluster_id IS NOT NULL").select("article_id", "cluster_id"), ids).select("cluster_id")
+    if split:  # the parts of a cluster that fell apart are scored too
+        was = before.select("article_id", F.col("cluster_id").alias("was"))
+        new = kept.join(was, "article_id").where("cluster_id IS NOT NULL AND cluster_id <> was").select("cluster_id")
+        left = left.unionByName(new)
     changed = materialize(
         left.unionByName(found.select(F.col("new_id").alias("cluster_id"))).unionByName(merged.select(F.col("merged_id").alias("cluster_id"))).distinct()
     )

@@ -288,6 +288,28 @@ ORACLE: dict[str, str] = {
         FROM art LEFT JOIN (SELECT u AS article_id, min(l) AS root FROM walk GROUP BY u) USING (article_id)
         LEFT JOIN sh USING (article_id) LEFT JOIN sets x USING (article_id)
         LEFT JOIN (SELECT article_id AS root, s FROM sets) y USING (root)"""),
+    "recheck_some": _sql("assigned verified sh sets", """
+        , again AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS article_id FROM labels),
+        pos AS (
+          SELECT a.article_id, CASE WHEN s.article_id IS NOT NULL OR a.cluster_id IS NULL THEN '~' || a.article_id ELSE a.cluster_id END AS node
+          FROM assigned a LEFT JOIN again s USING (article_id)),
+        e AS (
+          SELECT x.node AS u, y.node AS v FROM verified JOIN pos x ON x.article_id = a JOIN pos y ON y.article_id = b
+          WHERE a IN (SELECT article_id FROM again) OR b IN (SELECT article_id FROM again)),
+        linked AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+        walk AS (SELECT * FROM (
+          WITH RECURSIVE r AS (SELECT u, least(u, v) AS l FROM linked UNION SELECT w.v, r.l FROM r JOIN linked w ON w.u = r.u) SELECT * FROM r)),
+        root AS (SELECT u AS node, min(l) AS l FROM walk GROUP BY u),
+        named AS (
+          SELECT article_id, CASE WHEN coalesce(l, node) NOT LIKE '~%' THEN coalesce(l, node)
+            WHEN l IS NULL THEN NULL ELSE 'cluster_' || min(article_id) OVER (PARTITION BY coalesce(l, node)) END AS cluster_id
+          FROM pos LEFT JOIN root USING (node)),
+        placed AS (SELECT *, min(article_id) OVER (PARTITION BY cluster_id) AS rep, count(*) OVER (PARTITION BY cluster_id, simhash) AS alike
+          FROM named JOIN sh USING (article_id))
+        SELECT article_id, cluster_id, CASE WHEN cluster_id IS NULL THEN 'unique' ELSE 'matched' END AS cluster_status,
+               CASE WHEN cluster_id IS NULL THEN NULL WHEN article_id = rep OR alike > 1 THEN 1.0
+                 ELSE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))::DOUBLE END::DOUBLE AS similarity_score
+        FROM placed JOIN sets x USING (article_id) JOIN (SELECT article_id AS rep, s FROM sets) y USING (rep)"""),
     # statistics
     "corpus_totals": _sql("assigned", "SELECT count(*) AS total_articles, count(DISTINCT cluster_id) AS total_clusters FROM assigned"),
     "size_distribution": _sql("heads", "SELECT size, count(*) AS clusters FROM heads GROUP BY size"),

@@ -451,6 +451,13 @@ def recheck(spark, sf_dir):
     return ids_and_state(cl.recheck(stored, articles(spark, sf_dir), stored.select("article_id")))
 
 
+@query
+def recheck_some(spark, sf_dir):
+    """The articles that have labels again; the others keep their clusters unless these are merged."""
+    ids = materialize(table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("article_id")).distinct())
+    return ids_and_state(cl.recheck(assigned(spark, sf_dir), articles(spark, sf_dir), ids))
+
+
 # --- statistics -------------------------------------------------------------
 
 
