@@ -91,6 +91,56 @@ def test_versioned_table(spark, tmp_path):
     assert os.path.isdir(tmp_path / "t" / "version=0")
 
 
+def _files(folder) -> dict[str, tuple[int, int]]:
+    found = {}
+    for at, _, names in os.walk(folder):
+        for name in names:
+            state = os.stat(os.path.join(at, name))
+            found[os.path.join(at, name)] = (state.st_mtime_ns, state.st_size)
+    return found
+
+
+def test_two_writers_and_a_crash(spark, tmp_path):
+    """Every appended row stays, numbers are not shared, and nothing that a commit names is written again."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    schema = brute.frame(spark, []).select("article_id", "title").schema
+    path = str(tmp_path / "t")
+    table = tables.Table(spark, path, schema)
+    table.write(brute.frame(spark, [("start", "a", "b")]), 0)
+
+    def writer(name):
+        own = tables.Table(spark, path, schema)
+        return [own.append(brute.frame(spark, [(f"{name}{i}", "t", "c")])) for i in range(4)]
+
+    with ThreadPoolExecutor(2) as pool:
+        numbers = sum(pool.map(writer, "xy"), [])
+    assert sorted(numbers) == list(range(1, 9)) == table.versions()[1:]
+    everything = {"start", *(f"{n}{i}" for n in "xy" for i in range(4))}
+    assert {r.article_id for r in table.read().collect()} == everything
+
+    # A writer that dies before its commit leaves data that nobody reads, and blocks no number.
+    dead = tables.Table(spark, path, schema)
+    dead._publish = lambda version, folders: (_ for _ in ()).throw(KeyboardInterrupt())
+    with pytest.raises(KeyboardInterrupt):
+        dead.append(brute.frame(spark, [("lost", "t", "c")]))
+    assert {r.article_id for r in table.read().collect()} == everything
+
+    # One that saw an older state does not overwrite a newer one.
+    with pytest.raises(tables.Conflict):
+        table.replace(brute.frame(spark, [("old", "t", "c")]), 5)
+    before = _files(path)
+    version = table.compact("article_id", files=3)
+    assert version == 9 and len(table.folders()) == 1
+    assert {r.article_id for r in table.read().collect()} == everything
+    assert {r.article_id for r in table.read(8).collect()} == everything
+    assert len({r.f for r in table.read().select(F.input_file_name().alias("f")).collect()}) == 3
+    table.write(brute.frame(spark, [("other", "t", "c")]), 9)  # a replay of a committed version
+    assert {r.article_id for r in table.read().collect()} == everything
+    after = _files(path)
+    assert all(after[name] == state for name, state in before.items())
+
+
 @pytest.mark.parametrize("hot_rows", [2, 1_000_000])
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_join_groups_with_hot_and_null_keys(spark, hot_rows, how):

@@ -1,12 +1,17 @@
 """Article and cluster tables: keyed updates, upserts, versioned storage.
 
-A table is a folder of numbered versions. A version is written completely before
-the pointer file names it, so readers never see a half-written table, and writing
-the same version again (a replayed batch) gives the same result.
+A table is a log of numbered commits, each a list of data folders. Data is written to a folder of its own first; then
+a complete commit file takes its number, if no other file has it. So readers never see a half-written
+table, two writers never share a number, no folder is ever written twice, and a writer that dies leaves
+nothing but files that no commit names. Writing a committed version again (a replayed batch) changes nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,36 +80,108 @@ def lookup(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.where(F.col(key) == value)
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed what this one did not see."""
+
+
 class Table:
-    """A versioned Parquet table below ``path``."""
+    """A versioned Parquet table below ``path``.
+
+    A number is taken by a rename that fails if the target exists (HDFS), on local disks by a hard link;
+    stores without such a step need one writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/version={version}"
+        context = spark.sparkContext
+        self._jvm = context._jvm
+        self._root = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._root.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _publish(self, version: int, folders: list[str]) -> bool:
+        """Make a commit that appears whole; false if the number is taken."""
+        target = self._path(f"_log/{version:012d}.commit")
+        draft = self._path(f"_log/{version:012d}.{uuid.uuid4().hex}.draft")
+        out = self._files.create(draft, False)
+        out.write(bytearray(json.dumps({"folders": folders}).encode()))
+        out.close()
+        try:
+            if self._files.getUri().getScheme() != "file":
+                return self._files.rename(draft, target)
+            link, whole = (self._jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft))
+            try:
+                self._jvm.java.nio.file.Files.createLink(link, whole)
+            except Py4JJavaError as error:
+                if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                    return False
+                raise
+            return True
+        finally:
+            self._files.delete(draft, False)
+
+    def _stored(self, rows: DataFrame, version: int) -> str:
+        """Write rows to a folder of their own."""
+        folder = f"version={version}/{uuid.uuid4().hex}"
+        rows.select(*self.schema.names).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def folders(self, version: int | None = None) -> list[str]:
+        """The data folders of a version, by default of the newest one."""
+        version = self.version() if version is None else version
+        if version < 0:
+            return []
+        source = self._files.open(self._path(f"_log/{version:012d}.commit"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))["folders"]
+        finally:
+            source.close()
 
     def write(self, rows: DataFrame, version: int) -> None:
-        """Write a version, then a marker of its own; no marker is ever changed or deleted."""
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(self._folder(version))
-        marker = self.spark.range(1).select(F.lit(version).alias("version"))
-        marker.write.mode("overwrite").parquet(f"{self.path}/complete-{version:012d}")
+        """Make ``rows`` the whole content as ``version``; one that is committed already stays as it is."""
+        if version not in self.versions():
+            self._publish(version, [self._stored(rows, version)])
+
+    def replace(self, rows: DataFrame, seen: int) -> int:
+        """Make ``rows`` the whole content, unless a version after ``seen`` has been committed; the new version."""
+        if not self._publish(seen + 1, [self._stored(rows, seen + 1)]):
+            raise Conflict(f"version {self.version()} has been committed after version {seen}")
+        return seen + 1
+
+    def append(self, rows: DataFrame) -> int:
+        """Add rows to what is committed, whoever commits meanwhile; the new version. Data is written once."""
+        folder = self._stored(rows, self.version() + 1)
+        while True:
+            seen = self.version()
+            if self._publish(seen + 1, [*self.folders(seen), folder]):
+                return seen + 1
+
+    def versions(self) -> list[int]:
+        """The committed versions in rising order."""
+        found = self._files.globStatus(self._path("_log/*.commit"))
+        return sorted(int(s.getPath().getName().split(".")[0]) for s in found or [])
 
     def version(self) -> int:
-        """The newest version with a complete marker, or -1 when there is none."""
-        context = self.spark.sparkContext
-        pattern = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/complete-*/_SUCCESS")
-        found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern)
-        return max((int(s.getPath().getParent().getName().rpartition("-")[2]) for s in found or []), default=-1)
-
-    def read(self) -> DataFrame:
-        version = self.version()
-        if version < 0:
+        """The newest committed version, or -1 when there is none."""
+        return max(self.versions(), default=-1)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        found = self.folders(version)
+        if not found:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(version))
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in found])
+
+    def compact(self, by: str, files: int = 1) -> int:
+        """The same rows in ``files`` files of one folder, sorted by ``by``, so that a lookup by it opens few of them."""
+        seen = self.version()
+        rows = self.read(seen)
+        return self.replace(rows.repartitionByRange(files, by).sortWithinPartitions(by), seen)
 
     def clear(self, confirm: bool = False) -> None:
         """Replace the content by an empty table; older versions stay on disk."""
         if not confirm:
             raise ValueError("clearing a table needs confirm=True")
-        self.write(self.spark.createDataFrame([], self.schema), self.version() + 1)
+        seen = self.version()
+        self.replace(self.spark.createDataFrame([], self.schema), seen)
