@@ -148,3 +148,33 @@ def test_top_terms(spark):
     assert pairs[0] == [] and pairs[1] == [] and pairs[2] == [] and pairs[3] == [] and pairs[4] == []
     assert pairs[5] == [("w11", 0.182)] + [(f"w{i:02}", 0.091) for i in range(9)]
     assert pairs[6] == [("zz", 0.812), ("xx", 0.125), ("yy", 0.062)]
+
+
+def test_minhash_of_long_and_rich_texts(monkeypatch):
+    """Texts of many different characters, texts cut into blocks, and a text of five million characters."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(13)
+    rich = ["".join(chr(rnd.randrange(0x4E00, 0x9F00)) for _ in range(n)) for n in (9000, 9001, 4, 0, 300)]
+    rich += [rich[0][:4000] + rich[1][:4000], "abcabcabcabc", "\U0001f600" * 9]
+    a, b = fp.coefficients(120)
+    for fold in (700, fp._FOLD):
+        monkeypatch.setattr(fp, "_FOLD", fold)
+        found = list(fp.minhashes(pd.Series(rich), 5, a, b, {}))
+        for text, (n, values) in zip(rich, found):
+            assert n == len(brute.shingles(text))
+            assert (values.tolist() if n else []) == brute.minhash(text)
+    long = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz "), 5_000_000))
+    tracemalloc.start()
+    [(n, values)] = list(fp.minhashes(pd.Series([long]), 5, a, b, {}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    hashes = fp._hashes({long[i : i + 5] for i in range(len(long) - 4)}, 4, {}) % np.uint64(fp.PRIME)
+    assert n == len(hashes)
+    want = np.min([fp.permuted(hashes[i : i + 100_000], a, b).min(axis=0) for i in range(0, n, 100_000)], axis=0)
+    assert (values == want).all()
+    assert peak < 1_200_000_000

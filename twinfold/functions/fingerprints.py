@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinfold.functions.shingle_sets import ids_of, sized_sketch
+from twinfold.functions.shingle_sets import ids_of, sized_sketch, window_ids
 from twinfold.params import DEFAULT, Params
 
 # Workers need not have the package installed: its functions travel by value.
@@ -37,6 +37,7 @@ PREFIX_A, PREFIX_B = "a", "b"
 _BLOCK = 128  # shingles hashed at a time, so that the work stays in cache
 _GROUP = 500_000  # characters handled together: bounds memory, and shares hashes between texts
 _CACHE = 1_000_000  # piece hashes remembered per task
+_FOLD = 200_000  # shingles whose permuted hashes exist at a time
 
 
 def _low(text: str, size: int) -> int:
@@ -78,28 +79,64 @@ def groups_of(texts: pd.Series) -> Iterator[list[str]]:
         yield group
 
 
-def shingle_index(texts: list[str], size: int) -> tuple[list[str], list[np.ndarray]]:
-    """The distinct shingles of a group of texts, and for each text which of them it has."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+class Pieces:
+    """The distinct shingles of a group of texts, made only where they are asked for."""
+
+    def __init__(self, count: int, made):
+        self.count, self._made = count, made
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, i: int) -> str:
+        return self.part(i, i + 1)[0]
+
+    def part(self, start: int, stop: int) -> list[str]:
+        return self._made(start, min(stop, self.count))
+
+
+def shingle_index(texts: list[str], size: int) -> tuple[Pieces, list[np.ndarray]]:
+    """The distinct shingles of a group of texts, and for each text which of them it has.
+
+    A shingle is packed into 64 bits where the group has few different characters, and is known by a
+    64-bit hash otherwise.
+    """
+    joined = "".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
     used = np.unique(points)
-    if len(used) ** size >= 2**63:  # too many different characters to pack a shingle in 64 bits
-        sets = [{text[i : i + size] for i in range(len(text) - size + 1)} for text in texts]
-        number = {piece: i for i, piece in enumerate(set().union(*sets))}
-        return list(number), [np.array([number[piece] for piece in s], dtype=np.int64) for s in sets]
-    code = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=np.int64)
-    code[used] = np.arange(len(used))
-    codes = code[points]
-    windows = np.zeros(max(len(codes) - size + 1, 0), dtype=np.int64)
-    for j in range(size):
-        windows *= len(used)
-        windows += codes[j : j + len(windows)]
     starts = np.cumsum([0] + [len(text) for text in texts])
+    packed = len(used) ** size < 2**63
+    if packed:
+        code = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=np.int64)
+        code[used] = np.arange(len(used))
+        codes = code[points]
+        windows = np.zeros(max(len(codes) - size + 1, 0), dtype=np.int64)
+        for j in range(size):
+            windows *= len(used)
+            windows += codes[j : j + len(windows)]
+    else:
+        windows = window_ids(points, size)
     own = [np.unique(windows[s : s + max(len(text) - size + 1, 0)]) for s, text in zip(starts, texts)]
     every = np.unique(np.concatenate(own))
-    powers = len(used) ** np.arange(size - 1, -1, -1, dtype=np.int64)
-    letters = used[every[:, None] // powers % max(len(used), 1)].tobytes().decode("utf-32-le")
-    pieces = [letters[i : i + size] for i in range(0, len(letters), size)]
-    return pieces, [np.searchsorted(every, keys) for keys in own]
+    if packed:
+        powers = len(used) ** np.arange(size - 1, -1, -1, dtype=np.int64)
+
+        def made(start: int, stop: int) -> list[str]:
+            letters = used[every[start:stop, None] // powers % max(len(used), 1)].tobytes().decode("utf-32-le")
+            return [letters[i : i + size] for i in range(0, len(letters), size)]
+    else:
+        # A place of each shingle: any window inside a text that has its id.
+        inside = np.ones(len(windows), dtype=bool)
+        for end in starts[1:-1]:
+            inside[max(end - size + 1, 0) : end] = False
+        valid = np.flatnonzero(inside)
+        places = np.zeros(len(every), dtype=np.int64)
+        places[np.searchsorted(every, windows[valid])] = valid
+
+        def made(start: int, stop: int) -> list[str]:
+            return [joined[p : p + size] for p in places[start:stop].tolist()]
+
+    return Pieces(len(every), made), [np.searchsorted(every, keys) for keys in own]
 
 
 def permuted(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,12 +156,22 @@ def permuted(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def minhashes(
     texts: pd.Series, size: int, a: np.ndarray, b: np.ndarray, cache: dict
 ) -> Iterator[tuple[int, np.ndarray | None]]:
-    """Number of distinct shingles and MinHash values of each text; None without shingles."""
+    """Number of distinct shingles and MinHash values of each text; None without shingles.
+
+    The values of a group's shingles are made ``_FOLD`` shingles at a time and folded into the minima of the
+    texts, so a text of any length needs a few numbers per character.
+    """
     for group in groups_of(texts):
         pieces, owned = shingle_index(group, size)
-        table = permuted(_hashes(pieces, 4, cache) % np.uint64(PRIME), a, b)
-        for rows in owned:
-            yield len(rows), table[rows].min(axis=0) if len(rows) else None
+        best = [np.full(len(a), PRIME, dtype=np.uint32) if len(rows) else None for rows in owned]
+        for start in range(0, len(pieces), _FOLD):
+            table = permuted(_hashes(pieces.part(start, start + _FOLD), 4, cache) % np.uint64(PRIME), a, b)
+            for i, rows in enumerate(owned):
+                low, high = np.searchsorted(rows, (start, start + _FOLD))
+                if low < high:
+                    np.minimum(best[i], table[rows[low:high] - start].min(axis=0), out=best[i])
+        for rows, values in zip(owned, best):
+            yield len(rows), values
 
 
 def band_hashes(values: np.ndarray, rows: int) -> list[int]:

@@ -29,19 +29,24 @@ def _factor(place: int) -> np.uint64:
     return np.uint64(int.from_bytes(md5(f"s{place}".encode()).digest()[:8], "big") | 1)
 
 
-def ids_of(text: str, size: int) -> np.ndarray:
-    """The distinct shingles of a text, as rising ids."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    n = len(points) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    ids = np.zeros(n, dtype=np.uint64)
+def window_ids(points: np.ndarray, size: int) -> np.ndarray:
+    """The id of every ``size`` consecutive code points."""
+    points = points.astype(np.uint64)
+    ids = np.zeros(max(len(points) - size + 1, 0), dtype=np.uint64)
     for place in range(size):
-        ids += points[place : place + n] * _factor(place)
+        ids += points[place : place + len(ids)] * _factor(place)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         ids ^= ids >> np.uint64(shift)
         ids *= np.uint64(factor)
     ids ^= ids >> np.uint64(31)
+    return ids
+
+
+def ids_of(text: str, size: int) -> np.ndarray:
+    """The distinct shingles of a text, as rising ids."""
+    ids = window_ids(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), size)
+    if not len(ids):
+        return ids
     ids.sort()
     return ids[np.r_[True, ids[1:] != ids[:-1]]]
 
