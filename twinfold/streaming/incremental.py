@@ -13,6 +13,10 @@ its own articles and those of clusters that it merged into another. A label is t
 few alias rows. Batch k reads partitions below k only and overwrites its own, so a
 replayed batch gives the same state. Matches may reach back without limit, hence
 state lives in tables and not behind a watermark.
+
+What a batch needs of earlier ones it finds by key in ``index`` (see ``key_index``), so the stored files that it opens
+grow with its matches and not with the history; only filters (about two bytes per key) and ``aliases`` (a row per merged
+label) are read whole. Texts are read from the batches that hold a candidate.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from twinfold.schemas import ARTICLE
 from twinfold.session import materialize, scratch
 from twinfold.sources.articles import validate_articles
 from twinfold.sources.tables import latest_per_key
+from twinfold.streaming.key_index import KeyIndex, key_hash
 
 
 def _columns(**types: T.DataType) -> T.StructType:
@@ -50,6 +55,11 @@ TABLES = {
     "aliases": _columns(label=_ID, present=_ID),
     "rejects": T.StructType([*ARTICLE.fields, T.StructField("reasons", T.ArrayType(T.StringType()))]),
 }
+# What the index keeps of a batch, by kind of row: ``article`` and ``label`` (an article by id and by first label),
+# ``simhash`` (the articles of a value), ``text`` and ``bucket`` (a text not seen before), ``settled`` (a score for good).
+INDEXED = _columns(
+    article_id=_ID, label=_ID, simhash=_LONG, articles=_LONG, text_key=T.BinaryType(), bucket=_LONG, n_shingles=T.IntegerType()
+)
 
 
 class IncrementalClusters:
@@ -59,6 +69,31 @@ class IncrementalClusters:
         self.spark, self.path, self.params = spark, path.rstrip("/"), params
         for name, schema in TABLES.items():  # an empty first partition, so that every table can be read
             spark.createDataFrame([], schema).write.mode("ignore").parquet(self._folder(name, -1))
+        self.index = KeyIndex(spark, f"{self.path}/index", INDEXED)
+
+    def _index(self, batch: int) -> None:
+        """Add the stored rows of a batch to the index."""
+        features, texts, scores = (
+            self.spark.read.schema(TABLES[name]).parquet(self._folder(name, batch)) for name in ("features", "texts", "scores")
+        )
+        values = features.groupBy("simhash").agg(
+            F.count("*").alias("articles"), F.min("article_id").alias("article_id"), F.min("label").alias("label")
+        )
+        kinds = [
+            ("article", "article_id", features), ("label", "label", features), ("simhash", "simhash", values),
+            ("text", "text_key", texts.select("text_key")),
+            ("bucket", "bucket", cand.bucket_rows(texts)),
+            ("settled", "article_id", scores.where("label IS NULL").select("article_id")),
+        ]
+        none = self.spark.createDataFrame([], INDEXED)
+        for kind, key, rows in kinds:
+            none = none.unionByName(rows.select(F.lit(kind).alias("kind"), key_hash(kind, key), *rows.columns), allowMissingColumns=True)
+        self.index.add(none, batch)
+
+    def _find(self, kind: str, keys: DataFrame, batch: int) -> DataFrame:
+        """What earlier batches hold of one kind under the values of the only column of ``keys``, stored."""
+        [key] = keys.columns
+        return self.index.find(keys.select(key_hash(kind, key)), batch).where(F.col("kind") == kind)
 
     def _folder(self, name: str, batch: int) -> str:
         return f"{self.path}/{name}/batch={batch}"
@@ -88,8 +123,7 @@ class IncrementalClusters:
         self._write("rejects", batch, rejected)
         order = [F.desc("publish_time"), F.xxhash64("title", "content")]
         latest = materialize(latest_per_key(valid, "article_id", order))
-        stored = self.table("articles", batch).select("article_id")
-        known = materialize(keep_ids(stored, latest.select("article_id")))
+        known = materialize(self._find("article", latest.select("article_id"), batch).select("article_id"))
         self._write("updates", batch, keep_ids(latest, known))
         articles = self._write("articles", batch, latest.join(known, "article_id", "left_anti"))
 
@@ -100,37 +134,39 @@ class IncrementalClusters:
         groups = materialize(
             texts.groupBy("simhash").agg(F.min("article_id").alias("root"), F.sum("copies").alias("articles"))
         )
-        earlier = self._earlier(groups, batch)
-        edges = self._edges(texts, articles, batch)
-        self._label(features, groups, earlier, edges, batch)
-        seen = keep_ids(self.table("texts", batch).select("text_key"), texts, "text_key")
+        buckets = materialize(cand.bucket_rows(texts).select("bucket").distinct())
+        asked = groups.select(key_hash("simhash", "simhash")).union(texts.select(key_hash("text", "text_key")))
+        hits = self.index.find(asked.union(buckets.select(key_hash("bucket", "bucket"))), batch)
+        earlier = self._earlier(hits.where("kind = 'simhash'"), batch)
+        old_rows = keep_ids(hits.where("kind = 'bucket'"), buckets, "bucket")
+        old_rows = materialize(old_rows.select("bucket", "article_id", "simhash", "n_shingles", F.lit(False).alias("fresh"), "batch"))
+        old = self._find("article", old_rows.select("article_id").distinct(), batch).select("article_id", "label")
+        old = materialize(self._present(old, batch))
+        edges = self._edges(texts, articles, old_rows, old, batch)
+        self._label(features, groups, earlier, edges, old, batch)
+        seen = materialize(hits.where("kind = 'text'").select("text_key"))
         self._write("texts", batch, texts.join(seen, "text_key", "left_anti"))
+        self._index(batch)
 
-    def _earlier(self, groups: DataFrame, batch: int) -> DataFrame:
+    def _earlier(self, hits: DataFrame, batch: int) -> DataFrame:
         """Stored articles with a SimHash of this batch: count, smallest id, present label."""
-        hits = keep_ids(self.table("features", batch).drop("batch"), groups, "simhash")
         hits = hits.groupBy("simhash").agg(
-            F.count("*").alias("stored"), F.min("article_id").alias("stored_id"), F.min("label").alias("label")
+            F.sum("articles").alias("stored"), F.min("article_id").alias("stored_id"), F.min("label").alias("label")
         )
         return materialize(self._present(hits, batch))
 
-    def _edges(self, texts: DataFrame, articles: DataFrame, batch: int) -> DataFrame:
-        """Verified pairs with at least one text of this batch."""
+    def _edges(self, texts: DataFrame, articles: DataFrame, old_rows: DataFrame, old: DataFrame, batch: int) -> DataFrame:
+        """Verified pairs with at least one text of this batch; ``old`` has the present labels of ``old_rows``."""
         fresh = texts.select("*", F.lit(True).alias("fresh"), F.lit(batch).alias("batch"))
         rows = cand.bucket_rows(fresh, "fresh", "batch")
-        buckets = materialize(rows.select("bucket").distinct())
-        old = self.table("texts", batch).select("*", F.lit(False).alias("fresh"))
-        old_rows = keep_ids(cand.bucket_rows(old, "fresh", "batch"), buckets, "bucket")
         both = self.table("articles", batch).select("article_id", "title", "content", "batch").unionByName(
             articles.select("article_id", "title", "content", F.lit(batch).alias("batch"))
         )
-        links = self._present(self.table("features", batch), batch).select(
-            F.col("article_id").alias("u"), F.col("label").alias("v")
-        )
+        links = old.select(F.col("article_id").alias("u"), F.col("label").alias("v"))
         return verified_edges(rows.unionByName(old_rows), both, self.params, links)
 
     def _label(
-        self, features: DataFrame, groups: DataFrame, earlier: DataFrame, edges: DataFrame, batch: int
+        self, features: DataFrame, groups: DataFrame, earlier: DataFrame, edges: DataFrame, old: DataFrame, batch: int
     ) -> None:
         """Merge labels along the new edges; write labels, scores and aliases."""
         # Nodes: the smallest new id of each new SimHash value, and present labels of stored articles.
@@ -140,8 +176,7 @@ class IncrementalClusters:
         ])
         end = edges.select(F.explode(ends).alias("e")).select("e.*").distinct()
         new_node = end.where("fresh").join(groups, "simhash").select("article_id", F.col("root").alias("node"))
-        old_label = keep_ids(self.table("features", batch).drop("batch"), materialize(end.where("NOT fresh").select("article_id")))
-        old_node = self._present(old_label, batch).select("article_id", F.col("label").alias("node"))
+        old_node = keep_ids(old, materialize(end.where("NOT fresh").select("article_id"))).select("article_id", F.col("label").alias("node"))
         node = new_node.unionByName(old_node)
         across = (
             edges.join(node.select(F.col("article_id").alias("article_id_a"), F.col("node").alias("u")), "article_id_a")
@@ -162,12 +197,12 @@ class IncrementalClusters:
         present = latest_per_key(self.table("aliases", batch), "label", [F.desc("batch")])
         moved = present.join(merged.withColumnRenamed("label", "present"), "present").select("label", F.col("target").alias("present"))
         direct = merged.withColumnRenamed("target", "present")
-        self._write("aliases", batch, direct.unionByName(moved))
+        changed = self._write("aliases", batch, direct.unionByName(moved))
         roots = labels.select(F.col("component").alias("article_id")).distinct()
-        self._score(fresh, groups, earlier, merged, roots, batch)
+        self._score(fresh, groups, earlier, changed, roots, batch)
 
     def _score(
-        self, fresh: DataFrame, groups: DataFrame, earlier: DataFrame, merged: DataFrame, roots: DataFrame, batch: int
+        self, fresh: DataFrame, groups: DataFrame, earlier: DataFrame, changed: DataFrame, roots: DataFrame, batch: int
     ) -> None:
         """Scores of new articles and of the articles whose label was merged into another one."""
         exact = groups.join(earlier.select("simhash", "stored", "stored_id"), "simhash", "left").where(
@@ -177,14 +212,17 @@ class IncrementalClusters:
             join_groups(fresh, exact, ["simhash"], "articles").select("article_id")
             .unionByName(exact.where("stored_id IS NOT NULL").select(F.col("stored_id").alias("article_id")))
         )
-        settled = self.table("scores", batch).where("label IS NULL").select("article_id").unionByName(always)
-        old = self._present(self.table("features", batch).select("article_id", "label", "batch"), batch)
+        old = self._find("label", changed.select("label"), batch).select("article_id", "label", "batch")
         wanted = fresh.select("article_id", F.col("label").alias("rep_id"), F.lit(batch).alias("batch")).unionByName(
-            old.join(merged, "label").select("article_id", F.col("target").alias("rep_id"), "batch")
+            old.join(changed, "label").select("article_id", F.col("present").alias("rep_id"), "batch")
         ).where("article_id <> rep_id")
+        wanted = materialize(wanted.join(always, "article_id", "left_anti"))
+        settled = self._find("settled", wanted.select("article_id"), batch).select("article_id")
         wanted = materialize(wanted.join(settled, "article_id", "left_anti"))
         reps = materialize(wanted.select(F.col("rep_id").alias("article_id")).distinct())
-        where = keep_ids(self.table("features", batch + 1), reps).select(F.col("article_id").alias("rep_id"), F.col("batch").alias("rep_batch"))
+        where = self._find("article", reps, batch).select(F.col("article_id").alias("rep_id"), F.col("batch").alias("rep_batch")).unionByName(
+            keep_ids(fresh, reps).select(F.col("article_id").alias("rep_id"), F.lit(batch).alias("rep_batch"))
+        )
         pairs = materialize(wanted.join(where, "rep_id"))
         compared = cand.scores_against(pairs, self.table("articles", batch + 1), self.params)
         one = F.lit(1.0).alias("score")
