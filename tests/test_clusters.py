@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,30 @@ def test_near_simhash(texts):
     assert found == unsigned
 
 
+def test_near_simhash_of_many_values_in_one_block(spark):
+    rng = np.random.default_rng(3)
+    # 20,000 values with equal upper halves, 300 of them copied with one to four bits changed.
+    low = np.unique(rng.integers(0, 1 << 32, 20_000, dtype=np.uint64))
+    near = low[:300].copy()
+    for i in range(300):
+        for bit in rng.choice(32, i % 4 + 1, replace=False):
+            near[i] ^= np.uint64(1 << int(bit))
+    all_ = np.unique(np.concatenate([low, near])) | np.uint64(0xABCDEF01 << 32)
+    rows = spark.createDataFrame([(int(v),) for v in all_.view(np.int64)], "simhash bigint").withColumn("copies", F.lit(1).cast("long"))
+    expected = set()
+    for i, v in enumerate(all_):
+        for j in np.flatnonzero(np.bitwise_count(all_[i + 1 :] ^ v) <= 3):
+            expected.add(frozenset((int(v), int(all_[i + 1 + j]))))
+    mask = (1 << 64) - 1
+    found = cand.near_simhash(rows).collect()
+    assert {frozenset((r.simhash_a & mask, r.simhash_b & mask)) for r in found} == expected
+    assert len(found) == len(expected) >= 200
+    groups = cand.near_blocks(rows.withColumnRenamed("copies", "articles"), 3, 6)
+    sizes = [r.members for g in groups for r in g.select("mask", "bits", "members").distinct().collect()]
+    assert len(groups) > 1 and max(sizes) <= cand.LISTED_VALUES
+    assert sum(n * (n - 1) // 2 for n in sizes) < len(all_) ** 2 / 20
+
+
 def test_classify(features, texts, articles):
     hashes = {k: brute.simhash(t) for k, t in TEXTS.items()}
     sets = {k: brute.shingles(t) for k, t in TEXTS.items()}

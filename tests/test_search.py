@@ -70,6 +70,53 @@ def test_pages(table):
         search.search_page(table, page_size=101)
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """Rows with ties and nulls in the sort field."""
+    minute = F.when(F.col("id") % 10 != 0, F.pmod(F.col("id") * 37, F.lit(50)))
+    rows = spark.range(0, 3_000, numPartitions=7).select(F.format_string("%05d", "id").alias("article_id"), minute.alias("m"))
+    return rows.withColumn("publish_time", F.timestamp_seconds(F.col("m") * 60)).drop("m").cache()
+
+
+def in_order(rows, sort):
+    """Null is the smallest; ties by id."""
+    rows = sorted(rows.collect(), key=lambda r: r.article_id)
+    key = lambda r: (r.publish_time is not None, r.publish_time or 0)
+    return [r.article_id for r in sorted(rows, key=key, reverse=sort.endswith("desc"))]
+
+
+@pytest.mark.parametrize("sort", ["publish_time:asc", "publish_time:desc"])
+def test_deep_pages(many, sort, monkeypatch):
+    expected = in_order(many, sort)
+    ranked = search.RankedRows(many, search.sort_order(sort), parts=5)
+    assert ranked.total == len(expected) and len(ranked.parts) > 1
+    for page, size in ((1, 20), (100, 20), (150, 20), (151, 20), (2, 1_700), (1, 5_000)):
+        found = sorted((r.position, r.article_id) for r in ranked.page(page, size).collect())
+        first = (page - 1) * size
+        assert found == [(first + i + 1, key) for i, key in enumerate(expected[first : first + size])]
+    # The stored order is used: nothing is sorted or shuffled, and the place is filtered in the scan.
+    plan = ranked.page(120, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "PushedFilters" in plan and "_place" in plan.split("PushedFilters")[1]
+    monkeypatch.setattr(search, "DEEP", 100)
+    page = search.paginate(many, search.sort_order(sort), 50, 7).orderBy("position").collect()
+    assert [r.article_id for r in page] == expected[343:350]
+
+
+@pytest.mark.parametrize("sort", ["publish_time:asc", "publish_time:desc"])
+def test_pages_by_their_last_row(many, sort):
+    expected, after, seen = in_order(many, sort), None, []
+    for _ in range(7):
+        rows = search.page_after(many, sort, after, 500).collect()
+        seen += [r.article_id for r in rows]
+        after = (rows[-1].publish_time, rows[-1].article_id) if rows else after
+    assert seen == expected
+
+
+def test_ranked_rows_of_nothing(many):
+    ranked = search.RankedRows(many.where("false"), search.sort_order())
+    assert ranked.total == 0 and ranked.page(1, 10).collect() == []
+
+
 def test_page_is_collapsed(table):
     page = {}
     for r in search.search_page(table, page_size=6).orderBy("position", "rank").collect():

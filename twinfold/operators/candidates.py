@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions import shingle_sets
@@ -15,6 +18,8 @@ from twinfold.session import materialize
 
 # Members of one bucket compared within one task.
 CHUNK = 2_000
+# SimHash values of one block whose pairs are compared; it decides on the way, not on the result.
+LISTED_VALUES = 256
 
 
 def bucket_rows(texts: DataFrame, *extra: str) -> DataFrame:
@@ -153,32 +158,59 @@ def lsh_topk(features: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
     )
 
 
+def _free_bits(mask: int) -> list[int]:
+    return [i for i in range(64) if not mask >> i & 1]
+
+
+def _deeper(mask: int, distance: int, blocks: int) -> list[int]:
+    """``mask`` with each choice of ``blocks - distance`` of the blocks that its free bits are cut into."""
+    free = _free_bits(mask)
+    cuts = [free[len(free) * i // blocks : len(free) * (i + 1) // blocks] for i in range(blocks)]
+    return sorted({
+        mask | sum(1 << bit for cut in chosen for bit in cut) for chosen in combinations(cuts, blocks - distance)
+    })
+
+
+def near_blocks(values: DataFrame, distance: int, blocks: int, listed: int = LISTED_VALUES) -> list[DataFrame]:
+    """Groups (``mask, bits``) of at most ``listed`` of the distinct ``simhash`` values, equal in the bits of the mask, stored.
+
+    Values that differ in at most ``distance`` bits share a group. A larger group is cut again by the bits that its mask leaves free:
+    of their blocks, too, only ``distance`` can differ. Each step fixes about half of the free bits, so it ends
+    where they can tell no more than ``listed`` values apart, after three steps with the values given here.
+    """
+    if not 0 <= distance < blocks:
+        raise ValueError("distance must be below the number of blocks")
+    signed = lambda mask: mask - (1 << 64) if mask >= 1 << 63 else mask
+    schema = "mask bigint, deeper array<bigint>"
+    todo, groups = values.withColumn("mask", F.lit(0).cast("long")), []
+    masks = [0]
+    while masks:
+        # One row per mask: it depends on the number of blocks and steps, not on the data.
+        steps = values.sparkSession.createDataFrame([(signed(m), [signed(d) for d in _deeper(m, distance, blocks)]) for m in masks], schema)
+        keyed = todo.join(F.broadcast(steps), "mask").select(F.explode("deeper").alias("mask"), "simhash", "articles")
+        keyed = keyed.withColumn("bits", F.col("simhash").bitwiseAND(F.col("mask")))
+        sizes = keyed.groupBy("mask", "bits").agg(F.count("*").alias("members")).where("members >= 2")
+        shared = materialize(join_groups(keyed, sizes, ["mask", "bits"], "members"))
+        free = F.lit(64) - F.bit_count("mask")
+        small = (F.col("members") <= listed) | (free < blocks)
+        groups.append(shared.where(small))
+        todo = shared.where(~small).select("mask", "simhash", "articles")
+        masks = [r.mask & (1 << 64) - 1 for r in todo.select("mask").distinct().collect()]
+    return groups
+
+
 def near_simhash(texts: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
     """Pairs of SimHash values that differ in 1 to ``distance`` bits, exactly.
 
     With ``blocks`` blocks and at most ``distance`` differing bits, some
     ``blocks - distance`` blocks are equal. Each choice of that many blocks is one
-    join key: about half of all bits, so keys stay selective for billions of values.
+    join key: about half of all bits, so keys stay selective for billions of values; keys that many values share are
+    cut by further bits (``near_blocks``).
     Works on distinct values; ``articles_a`` and ``articles_b`` give their weight.
     """
-    from itertools import combinations
-
-    values = texts.groupBy("simhash").agg(F.sum("copies").alias("articles"))
-    bounds = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [(1 << hi) - (1 << lo) for lo, hi in zip(bounds, bounds[1:])]
-
-    def key(number: int, chosen: tuple[int, ...]) -> Column:
-        mask = sum(masks[i] for i in chosen)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        return F.struct(F.lit(number).alias("choice"), F.col("simhash").bitwiseAND(F.lit(signed)).alias("bits"))
-
-    choices = list(combinations(range(blocks), blocks - distance))
-    keyed = values.select(
-        F.explode(F.array(*[key(i, c) for i, c in enumerate(choices)])).alias("k"), "simhash", "articles"
-    ).select("k.choice", "k.bits", "simhash", "articles")
-    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("members")).where("members >= 2")
-    shared = materialize(join_groups(keyed, sizes, ["choice", "bits"], "members"))
-    pairs = split_pairs(shared, ["choice", "bits"], "members", "simhash", CHUNK)
+    values = materialize(texts.groupBy("simhash").agg(F.sum("copies").alias("articles")))
+    groups = reduce(DataFrame.unionByName, near_blocks(values, distance, blocks))
+    pairs = split_pairs(groups, ["mask", "bits"], "members", "simhash", CHUNK)
     pairs = pairs.withColumn("distance", sim.hamming(F.col("simhash_a"), F.col("simhash_b")))
     return (
         pairs.where(F.col("distance") <= distance)

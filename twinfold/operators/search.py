@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ SORT_FIELDS = ("publish_time", "created_at", "updated_at")
 SORT_ORDERS = ("asc", "desc")
 DEFAULT_SORT = "publish_time:desc"
 MAX_PAGE_SIZE = 100
+# Rows before a page that tasks may keep; it decides on the way, not on the result.
+DEEP = 10_000
 
 
 def sort_order(sort: str | None = None) -> list[Column]:
@@ -74,13 +77,68 @@ def check_page(page: int, page_size: int) -> None:
         raise ValueError("page and page_size start at 1")
 
 
+class RankedRows:
+    """Rows laid out in ``order``, which must be total, so that any page is read from its own place.
+
+    Rows are range-partitioned, sorted and numbered within their partition while they are written. A partition's first
+    position is the number of rows in earlier ones: one number per partition. A page is a
+    range of stored numbers, which the scan skips to by the files' statistics: no row before the page is sorted or sent.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[Column], parts: int | None = None):
+        self.columns = rows.columns
+        by = order if parts is None else [parts, *order]
+        placed = rows.repartitionByRange(*by).sortWithinPartitions(*order)
+        self.rows = materialize(placed.withColumn("_place", F.monotonically_increasing_id()))  # partition * 2^33 + number
+        counts = self.rows.groupBy(F.shiftright("_place", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+        starts = accumulate((r.n for r in counts), initial=0)
+        self.parts = [(first, r.p << 33, r.n) for first, r in zip(starts, counts)]
+        self.total = sum(r.n for r in counts)
+
+    def page(self, page: int = 1, page_size: int = 20) -> DataFrame:
+        """One page, with its 1-based ``position`` in the whole result."""
+        check_page(page, page_size)
+        low, high = (page - 1) * page_size, page * page_size
+        wanted, position = F.lit(False), F.lit(None).cast("bigint")
+        for first, place, n in self.parts:
+            if first < high and low < first + n:  # at most page_size partitions
+                here = F.col("_place").between(place + max(low - first, 0), place + min(high - first, n) - 1)
+                wanted, position = wanted | here, F.when(here, F.col("_place") + (first - place + 1)).otherwise(position)
+        return self.rows.where(wanted).select(*[F.col(f"`{c}`") for c in self.columns], position.alias("position"))
+
+
+def page_after(rows: DataFrame, sort: str | None = None, after: tuple | None = None, page_size: int = 20) -> DataFrame:
+    """The ``page_size`` rows that follow ``after``, the sort field and article id of the last row seen, or the first ones.
+
+    Each task keeps ``page_size`` rows, however far the page is. Null is the smallest value.
+    """
+    check_page(1, page_size)
+    order = sort_order(sort)
+    if after is not None:
+        field, _, way = (sort or DEFAULT_SORT).partition(":")
+        value, article_id = after
+        column = F.col(field)
+        if value is None:
+            further = column.isNotNull() if way == "asc" else F.lit(False)
+            same = column.isNull()
+        else:
+            value = F.lit(value).cast(rows.schema[field].dataType)
+            further = column > value if way == "asc" else (column < value) | column.isNull()
+            same = column == value
+        rows = rows.where(further | (same & (F.col("article_id") > article_id)))
+    return rows.orderBy(*order).limit(page_size)
+
+
 def paginate(rows: DataFrame, order: list[Column], page: int = 1, page_size: int = 20) -> DataFrame:
     """One page of ``rows`` in ``order``, with its 1-based ``position`` in the whole result.
 
-    Each task keeps its first ``page * page_size`` rows; only those are merged.
+    For early pages each task keeps its first ``page * page_size`` rows and only those are merged; pages beyond
+    ``DEEP`` rows are read from ranked rows, so that no task holds all rows before them.
     """
     check_page(page, page_size)
     skipped = (page - 1) * page_size
+    if skipped > DEEP:
+        return RankedRows(rows, order).page(page, page_size)
     hits = rows.orderBy(*order).offset(skipped).limit(page_size)
     position = F.row_number().over(Window.orderBy(*order))  # at most page_size rows
     return hits.withColumn("position", (position + skipped).cast("bigint"))

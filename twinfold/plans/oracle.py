@@ -334,6 +334,10 @@ ORACLE: dict[str, str] = {
         SELECT row_number() OVER (ORDER BY published DESC, article_id) AS position, article_id, cluster_id, published AS publish_epoch,
                count(*) OVER () AS total, ceil(count(*) OVER () / 20)::BIGINT AS total_pages
         FROM assigned WHERE state = 1 QUALIFY position BETWEEN 21 AND 40"""),
+    "search_ranked_page": _sql("assigned", """
+        SELECT row_number() OVER (ORDER BY published DESC, article_id) AS position, article_id, cluster_id, published AS publish_epoch
+        FROM assigned, (SELECT greatest(1, (SELECT count(*) FROM assigned) // 50 // 2) AS page)
+        QUALIFY position BETWEEN page * 50 - 49 AND page * 50"""),
     "paginate": _sql("heads", """
         SELECT row_number() OVER (ORDER BY size DESC, cluster_id) AS position, cluster_id, size FROM heads QUALIFY position BETWEEN 26 AND 50"""),
     "search_collapse": _sql("first100", """

@@ -550,6 +550,14 @@ def search_page(spark, sf_dir):
     return page.crossJoin(F.broadcast(search.page_totals(rows, 2, 20).select("total", "total_pages")))  # one row of totals
 
 
+@query
+def search_ranked_page(spark, sf_dir):
+    """The page in the middle of all articles, read from its place in the ranked rows."""
+    ranked = search.RankedRows(assigned(spark, sf_dir), search.sort_order("created_at:desc"))
+    page = max(1, ranked.total // 50 // 2)
+    return _ranked(ranked.page(page, 50))
+
+
 @query
 def paginate(spark, sf_dir):
     page = search.paginate(cluster_table(spark, sf_dir), [F.desc("size"), F.asc("cluster_id")], 2, 25)
