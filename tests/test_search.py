@@ -1,5 +1,6 @@
 """Search, lookups and reports on a small stored table."""
 
+import random
 from datetime import timedelta
 
 import pytest
@@ -173,6 +174,21 @@ def test_title_self_search(table, k):
         assert found[key] == ((True, rank) if rank <= k else (False, None))
 
 
+def test_titles_that_share_a_hot_token(spark, monkeypatch):
+    monkeypatch.setattr(reports, "TITLES", 7)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(9)]
+    titles = [" ".join(["news", *rng.sample(words, rng.randint(0, 3))]) for _ in range(120)]
+    rows = spark.createDataFrame([(f"{i:03d}", t, rng.randrange(40)) for i, t in enumerate(titles)], "article_id string, title string, m int")
+    rows = rows.withColumn("publish_time", F.timestamp_seconds("m")).cache()
+    listed = [(r.article_id, set(r.title.split()), r.m) for r in rows.collect()]
+    listed.sort(key=lambda r: (-r[2], r[0]))
+    found = {r.article_id: r["rank"] for r in reports.title_self_search(rows, 5).collect()}
+    for key, tokens, _ in listed:
+        rank = [x for x, other, _ in listed if tokens <= other].index(key) + 1
+        assert found[key] == (rank if rank <= 5 else None)
+
+
 def test_best_cluster(spark):
     rows = [("a", "c2", 0.9), ("a", "c1", 1.0), ("a", "c1", 0.8), ("a", None, 1.0), ("b", "c3", 0.8), ("b", "c4", 0.95), ("d", None, 1.0)]
     found = best_cluster(spark.createDataFrame(rows, "article_id string, cluster_id string, score double"))

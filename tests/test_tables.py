@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
-from twinfold.operators.joins import join_groups, keep_ids, split_pairs
+from twinfold.operators.joins import join_chunks, join_groups, keep_ids, split_pairs
 from twinfold.schemas import ARTICLE
 from twinfold.sources import articles as src
 from twinfold.sources import tables
@@ -154,6 +154,24 @@ def test_join_groups_with_hot_and_null_keys(spark, hot_rows, how):
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.select(*names).collect()))
 
 
+def test_join_groups_with_repeated_groups(spark):
+    rows = spark.createDataFrame([(i, "hot" if i < 40 else "cold") for i in range(42)], "i int, k string")
+    groups = spark.createDataFrame([("hot", 40, "x"), ("hot", 40, "y"), ("cold", 2, "z")], "k string, n int, g string")
+    found = sorted((r.i, r.g) for r in join_groups(rows, groups, ["k"], "n", hot_rows=5, repeated=True).collect())
+    assert found == sorted((i, g) for i in range(42) for g in ("xy" if i < 40 else "z"))
+
+
+@pytest.mark.parametrize("chunk", [3, 1_000])
+def test_join_chunks(spark, chunk):
+    left = spark.createDataFrame([(i, "hot" if i < 20 else f"k{i % 4}") for i in range(30)] + [(99, None)], "a int, k string")
+    right = spark.createDataFrame([(i, "hot" if i < 31 else f"k{i % 3}") for i in range(40)] + [(99, None)], "b int, k string")
+    even = (F.col("a") + F.col("b")) % 2 == 0
+    for condition in (None, even):
+        plain = left.join(right, "k") if condition is None else left.join(right, "k").where(condition)
+        found = join_chunks(left, right, "k", "a", "b", chunk, condition)
+        assert sorted(map(tuple, found.select("k", "a", "b").collect())) == sorted(map(tuple, plain.select("k", "a", "b").collect()))
+
+
 def test_split_pairs(spark):
     rows = spark.createDataFrame([("k", i, 30) for i in range(30)] + [("l", i, 2) for i in range(2)], "k string, id int, n int")
     for chunk in (1, 4, 100):

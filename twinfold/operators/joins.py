@@ -23,9 +23,12 @@ def join_groups(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     total: int | None = None,
+    repeated: bool = False,
 ) -> DataFrame:
     """``rows`` joined to ``groups``, which has one row per key and the key's row count in ``size``.
 
+    With ``repeated`` a key may have several rows of equal ``size``.
+
     Rows of a hot key get a salt from their own content (so a re-run task gives
     the same rows), one salt per ``hot_rows`` rows; the group's single row is repeated
     once per salt. Rows with a
@@ -36,6 +39,7 @@ def join_groups(
         return rows.join(groups, keys, how)
     salts = F.ceil(F.col(size) / F.lit(hot_rows)).cast("int")
     hot = groups.where(F.col(size) > hot_rows).select(*keys, salts.alias("_salts"))
+    hot = hot.distinct() if repeated else hot
     content = F.xxhash64(*rows.columns)
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     salt = F.when(no_key, F.pmod(content, F.lit(1 << 20))).otherwise(F.pmod(content, F.coalesce("_salts", F.lit(1))))
@@ -68,6 +72,29 @@ def keep_ids(rows: DataFrame, ids: DataFrame, key: str = "article_id") -> DataFr
     return rows.join(ids.select(key), key, "left_semi")
 
 
+def join_chunks(
+    left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, chunk: int, condition: Column | None = None
+) -> DataFrame:
+    """Inner join on a key that may be hot on both sides.
+
+    The rows of a key are cut by their id into chunks of about ``chunk`` on each side, and each chunk pair is a
+    join key of its own: no task buffers more than a chunk of one key. Apart from the key the sides have different columns.
+    """
+    n_left = left.groupBy(key).agg(F.count("*").alias("_left"))
+    sizes = materialize(n_left.join(right.groupBy(key).agg(F.count("*").alias("_right")), key))
+    pieces = [F.ceil(F.col(side) / F.lit(chunk)).cast("int") for side in ("_left", "_right")]
+
+    def cut(rows: DataFrame, size: str, id_: str, own: int) -> DataFrame:
+        placed = join_groups(rows, sizes, [key], size)
+        piece = F.pmod(F.xxhash64(id_), pieces[own]).cast("int")
+        others = F.explode(F.sequence(F.lit(0), pieces[1 - own] - 1))
+        names = ("_i", "_j") if own == 0 else ("_j", "_i")
+        return placed.select(*rows.columns, piece.alias(names[0]), others.alias(names[1]))
+
+    joined = cut(left, "_left", left_id, 0).join(cut(right, "_right", right_id, 1), [key, "_i", "_j"])
+    return (joined if condition is None else joined.where(condition)).drop("_i", "_j")
+
+
 def split_pairs(rows: DataFrame, keys: list[str], size: str, node: str, chunk: int) -> DataFrame:
     """Each unordered pair of rows with equal ``keys`` once, columns suffixed ``_a`` and ``_b``.
 

@@ -427,8 +427,9 @@ def _text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_members(spark, sf_dir):
     members = cl.duplicate_clusters(features(spark, sf_dir))
     by_text = _similar_with_clusters(spark, sf_dir).where("cluster_id IS NOT NULL").select("article_id", "cluster_id").distinct()
-    by_text = by_text.join(_text_keys(spark, sf_dir), "article_id").select("text_key", "cluster_id")
-    additions = features(spark, sf_dir).select("article_id", "text_key").join(by_text, "text_key")
+    by_text = by_text.join(_text_keys(spark, sf_dir), "article_id").select("text_key", "cluster_id", "size")
+    # A text may belong to several clusters and have any number of copies.
+    additions = join_groups(features(spark, sf_dir).select("article_id", "text_key"), by_text, ["text_key"], "size", repeated=True)
     return cl.member_sizes(materialize(cl.merge_members(members, additions))).select("cluster_id", "article_id", "size")
 
 
