@@ -135,7 +135,10 @@ def lsh_topk(features: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
     own = keys.where("n_bands > 0 and copies > 1").select(
         "article_id", F.col("article_id").alias("other_id"), F.col("n_bands").cast("bigint").alias("shared_bands")
     )
-    links = materialize(near.unionByName(own))
+    # A text's links are named by its smallest id, so what the first k + 1 links of a list hold precedes all other links.
+    first_links = Window.partitionBy("article_id").orderBy(F.desc("shared_bands"), "other_id")
+    links = near.unionByName(own).withColumn("_rank", F.row_number().over(first_links)).where(F.col("_rank") <= k + 1)
+    links = materialize(links.drop("_rank"))
     first = first_ids(features, k + 1).groupBy("text_key").agg(F.collect_list("article_id").alias("ids"))
     degree = links.groupBy("other_id").agg(F.count("*").alias("degree"))
     partners = materialize(
