@@ -1,5 +1,6 @@
 """Clustering against brute force, with large buckets, and as a stream."""
 
+import shutil
 from collections import Counter
 
 import numpy as np
@@ -127,6 +128,23 @@ def test_stream_equals_batch(spark, articles, tmp_path):
     assert state(state_of.assigned()) == found
 
 
+def test_state_without_an_index(spark, tmp_path):
+    """A state whose index is missing gets it from its tables."""
+    words = "one two three four five six seven eight nine ten".split()
+    rows = brute.frame(spark, [("1", "", " ".join(words)), ("2", "", " ".join(words)), ("3", "", "something else entirely")])
+    first = IncrementalClusters(spark, str(tmp_path / "state"))
+    first.apply(rows.where("article_id <> '2'"), 0)
+    moved = IncrementalClusters(spark, str(tmp_path / "copy"))
+    for name in ("articles", "updates", "features", "texts", "scores", "aliases", "rejects"):
+        shutil.copytree(tmp_path / "state" / name, tmp_path / "copy" / name, dirs_exist_ok=True)
+    assert moved.index.runs() == []
+    again = IncrementalClusters(spark, str(tmp_path / "copy"))
+    assert again._finished() == [0] and [(r.first, r.last) for r in again.index.runs()] == [(0, 0)]
+    again.apply(rows.where("article_id = '2'"), 1)
+    found = {r.article_id: (r.cluster_id, r.similarity_score) for r in again.assigned().collect()}
+    assert found == {"1": ("cluster_1", 1.0), "2": ("cluster_1", 1.0), "3": (None, None)}
+
+
 def test_file_stream(spark, articles, tmp_path):
     inbox = str(tmp_path / "inbox")
     articles.repartition(2).write.parquet(inbox)

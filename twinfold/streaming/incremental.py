@@ -70,6 +70,17 @@ class IncrementalClusters:
         for name, schema in TABLES.items():  # an empty first partition, so that every table can be read
             spark.createDataFrame([], schema).write.mode("ignore").parquet(self._folder(name, -1))
         self.index = KeyIndex(spark, f"{self.path}/index", INDEXED)
+        runs = self.index.runs()
+        for batch in self._finished():  # of a state without an index, or of a job that died before its last step
+            if not any(run.first <= batch <= run.last for run in runs):
+                self._index(batch)
+
+    def _finished(self) -> list[int]:
+        """The batches whose tables are all written; ``texts`` is the last one."""
+        context = self.spark.sparkContext
+        done = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/texts/batch=*/_SUCCESS")
+        found = done.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(done) or []
+        return sorted(b for b in (int(s.getPath().getParent().getName().split("=")[1]) for s in found) if b >= 0)
 
     def _index(self, batch: int) -> None:
         """Add the stored rows of a batch to the index."""
