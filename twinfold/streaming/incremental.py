@@ -15,7 +15,7 @@ replayed batch gives the same state. Matches may reach back without limit, hence
 state lives in tables and not behind a watermark.
 
 What a batch needs of earlier ones it finds by key in ``index`` (see ``key_index``), so the stored files that it opens
-grow with its matches and not with the history; only filters (about two bytes per key) and ``aliases`` (a row per merged
+grow with its matches and not with the history; only filters (two to four bytes per key) and ``aliases`` (a row per merged
 label) are read whole. Texts are read from the batches that hold a candidate.
 """
 
