@@ -363,6 +363,48 @@ def test_code_is_complete():
     model = context_mixing.Model(code, tables)
     costs = [model.path_costs(context_mixing.Tokens(code, [b"a " + w]))[1] for w in (*words, b"rare", b"")]
     assert sum(math.exp(-c) for c in costs) == pytest.approx(1, abs=1e-5)
+    # With an expected word, which may be coded either way.
+    costs = [model.path_costs(context_mixing.Tokens(code, [b"a b a " + w]))[3] for w in (*words, b"rare", b"")]
+    assert sum(math.exp(-c) for c in costs) == pytest.approx(1, abs=1e-5)
+
+
+def brute_path_costs(model, text):
+    """Nats of each token of one text, a decision at a time."""
+    code, words = model.code, [*text.lower().split(), b""]
+    found = context_mixing.Tokens(code, [text])
+    weights, steps, costs = model.weights.astype(float), np.zeros(model.weights.shape), []
+    for t, word in enumerate(words):
+        symbol = code.words.get(word, code.escape)
+        expected = max((j for j in range(1, t) if words[j - 1] == words[t - 1]), default=None) if t else None
+        decisions = context_mixing.Decisions(code, found, np.array([t]))
+        assert (decisions.gate[0] > 3) == (expected is not None)
+        nats = []
+        for x, gate, bit in zip(model.inputs(decisions).astype(float), decisions.gate, decisions.bit):
+            p = 1 / (1 + math.exp(-sum(x * weights[gate])))
+            nats.append(-math.log(p if bit else 1 - p))
+            steps[gate] += context_mixing.RATE * (bit - p) * x
+        cost = sum(nats) + code.tail[symbol]
+        if expected is not None and words[expected] == word:
+            h = math.exp(-nats[0])
+            cost = nats[0] if symbol == code.escape else -math.log(h + (1 - h) * math.exp(nats[0] - cost))
+        costs.append(cost)
+        if (t + 1) % context_mixing.BLOCK == 0:
+            weights, steps = weights + steps, np.zeros(steps.shape)
+    return costs
+
+
+def test_path_costs_against_single_decisions():
+    """Texts of several lengths side by side, one longer than many blocks, an empty one."""
+    rnd = random.Random(3)
+    words = [b"a", b"b", b"c", b"dd"]
+    code = context_mixing.Code(words, [50, 30, 10, 9], 2, 8, [0, 1, 0, 1])
+    draw = np.random.default_rng(3)
+    tables = {k: draw.random((1 << (context_mixing.SLOT_BITS if k < 2 else context_mixing.SPELL_BITS), 2)).astype(np.float32) * 9 for k in range(6)}
+    model = context_mixing.Model(code, tables)
+    texts = [b" ".join(rnd.choices([*words, b"new", b"odd"], k=k)) for k in (3, 0, 400, 40, 16)]
+    got = model.path_costs(context_mixing.Tokens(code, texts))
+    want = [c for t in texts for c in brute_path_costs(model, t)]
+    assert got == pytest.approx(want, abs=1e-3)
 
 
 def test_pipeline(spark, tmp_path):
