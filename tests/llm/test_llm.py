@@ -471,3 +471,10 @@ def test_toxicity_ignores_other_labels(spark):
         return {r.doc_id: r.s for r in docs.select("doc_id", toxic_segments.toxicity(docs, model).alias("s")).collect()}
 
     assert scores(own + other) == pytest.approx(scores(own), abs=1e-9)
+
+
+def test_exploded_blocks_are_not_sent_through_the_driver(spark, tmp_path):
+    # The planner sees some kilobytes of stored fingerprints, 35 rows each.
+    spark.range(2_000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "prints"))
+    plan = simhash_blocks.near_links(spark.read.parquet(str(tmp_path / "prints")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

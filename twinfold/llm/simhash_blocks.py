@@ -133,7 +133,9 @@ def near_links(prints: DataFrame, bits: int = 4, common: int = 3, chunk: int = _
     masks = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(bits, common)])
     keyed = prints.select("fp", F.posexplode(masks).alias("choice", "block"))
     counts = keyed.groupBy("choice", "block").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(counts, ["choice", "block"])
+    # The planner takes the exploded rows for as few bytes as the stored fingerprints and would send them
+    # all through the driver: both sides are sorted instead.
+    shared = keyed.hint("merge").join(counts, ["choice", "block"])
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     # Every pair of chunks (i <= j) meets once.
