@@ -478,3 +478,23 @@ def test_exploded_blocks_are_not_sent_through_the_driver(spark, tmp_path):
     spark.range(2_000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "prints"))
     plan = simhash_blocks.near_links(spark.read.parquet(str(tmp_path / "prints")))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tiles_are_not_shuffled_to_their_units(spark, monkeypatch):
+    plans = []
+    store = int8_dedup.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(int8_dedup, "materialize", noted)
+    monkeypatch.setattr(int8_dedup, "_TILE", 4)
+    rnd = np.random.default_rng(3)
+    rows = np.repeat(rnd.normal(size=(10, 8)), 3, axis=0) + rnd.normal(scale=0.05, size=(30, 8))
+    found = int8_dedup.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>"))
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert [r.n_links for r in found.orderBy("vec_id").collect()] == links.tolist()
+    compared = next(p for p in plans if "MapInArrow" in p)
+    assert "CartesianProduct" in compared and "Exchange" not in compared

@@ -88,7 +88,6 @@ def merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per vector."""
     spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     usable = all_rows.where(is_usable(F.col("v")))
     # A vector's number is written once, so a lost task cannot change it.
@@ -105,10 +104,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         distinct.join(sizes, F.size("v") == F.col("size")).withColumn("tile", tile)
         .groupBy("size", "tiles", "tile").agg(F.collect_list(member).alias("members"))
     )
-    # Each pair of tiles i <= j is one unit: tile i is sent to all units (i, j), tile j likewise.
-    left = tiles.select("size", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), F.col("members").alias("a"))
-    right = tiles.select("size", F.explode(F.sequence(F.lit(0), "tile")).alias("i"), F.col("tile").alias("j"), F.col("members").alias("b"))
-    units = left.join(right, ["size", "i", "j"]).repartition(parts, "size", "i", "j")
+    # Each pair of tiles i <= j is one unit. Tasks read both from the stored table, partition by partition:
+    # sent to its units through a shuffle, a tile would be written once for every other one.
+    left = tiles.select("size", F.col("tile").alias("i"), F.col("members").alias("a"))
+    right = tiles.select(F.col("size").alias("_size"), F.col("tile").alias("j"), F.col("members").alias("b"))
+    pair = (F.col("size") == F.col("_size")) & (F.col("i") <= F.col("j"))
+    units = left.hint("shuffle_replicate_nl").join(right, pair).select("size", "i", "j", "a", "b")
     schema = "node long, links long, root long"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
