@@ -14,7 +14,7 @@ from tests.corpus import corpus
 from twinfold.functions import shingle_sets as ss
 from twinfold.operators import candidates as cand
 from twinfold.operators import clusters as cl
-from twinfold.operators import hot_buckets, set_join
+from twinfold.operators import block_join, hot_buckets, set_join
 from twinfold.operators.features import extract_features, text_groups
 from twinfold.session import materialize
 
@@ -146,3 +146,29 @@ def test_bucket_size_does_not_decide(spark, monkeypatch, listed):
         a, b = sorted((root(a), root(b)))
         label[b] = a
     assert got == {x: root(x) for x in label}
+
+
+@pytest.mark.parametrize("block", [2_000, 8_000_000])
+def test_large_buckets_are_compared_by_blocks(spark, monkeypatch, block):
+    """No dissimilar pair is listed, whatever the buckets hold, and similar pairs have their scores and shared bands."""
+    rows, articles, texts = corpus_tables(spark, template=25, seed=9)
+    want = cand.similar_pairs(texts, articles)
+    columns = sorted(want.columns)
+    monkeypatch.setattr(cand, "LISTED", 1)
+    monkeypatch.setattr(block_join, "BLOCK", block)
+    stored = []
+    monkeypatch.setattr(cand, "materialize", lambda df: stored.append(materialize(df)) or stored[-1])
+    got = cand.similar_pairs(texts, articles)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert want.count() > 60
+    pairs = {(r.article_id_a, r.article_id_b) for s in stored if "article_id_b" in s.columns for r in s.collect()}
+    assert pairs == {(r.article_id_a, r.article_id_b) for r in want.collect()}
+
+
+def test_common_counts():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.zipf(1.3, size=rnd.integers(1, 200)) % 5_000).astype(np.uint64) for _ in range(150)]
+    left, right = sets[:90], sets[90:]
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert block_join.common_counts(left, right).tolist() == want
+    assert block_join.common_counts([np.array([1], dtype=np.uint64)], [np.array([2], dtype=np.uint64)]).tolist() == [[0]]
