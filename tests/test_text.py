@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,30 @@ def test_title_is_first_line(spark):
     assert apply(spark, values, lambda c: tx.derive_title(c, F.lit("stem"))) == [expected(v) for v in values]
 
 
+def test_title_of_a_line_with_blanks_where_it_is_cut(spark):
+    """Characters after the first 121 decide only where the 121st is a blank of the line."""
+    values = [
+        "a" * 120 + " ", "a" * 120 + " \nb", "a" * 120 + "  b", "abc" + " " * 200, "abc" + " " * 200 + "x", "abc" + " " * 200 + "\nx",
+        "x" * 119 + "\u3000 z", "x" * 117 + " " * 4 + "y",
+    ]
+    want = ["a" * 120, "a" * 120, "a" * 117 + "...", "abc", "abc" + " " * 114 + "...", "abc", "x" * 117 + "...", "x" * 117 + "..."]
+    assert apply(spark, values, lambda c: tx.derive_title(c, F.lit("stem"))) == want
+
+
+def test_titles_do_not_search_long_lines(spark):
+    """A text of one line pays for its first characters, not for its length."""
+    line = F.concat(F.lit("x"), F.repeat(F.lit("word "), 4_000_000))
+    rows = spark.range(8).select(tx.derive_title(line, F.lit("stem")).alias("t"), F.length(line).alias("n"))
+    plan = rows._jdf.queryExecution().toString()
+    assert "substring(ltrim(" in plan and rows.where(F.col("t") == "x" + ("word " * 30)[:116] + "...").count() == 8
+
+
+def test_distinct_sorts():
+    draw = np.random.default_rng(5)
+    for values in (np.array([], dtype=np.int64), draw.integers(-9, 9, 300), draw.integers(0, 1 << 63, 200, dtype=np.uint64)):
+        assert np.array_equal(fp._distinct(values), np.unique(values))
+
+
 def test_source_names(spark):
     values = [None, "", "  ", "My News-Site.com", "__a  b..c--", "A_b"]
     assert apply(spark, values, tx.normalize_source) == ["unknown", "unknown", "", "my_news_site_com", "_a_b_c_", "a_b"]
