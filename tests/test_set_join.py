@@ -125,6 +125,32 @@ def test_sketches_change_no_result(spark):
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
 
 
+def test_pair_bounds():
+    """No bound is below a similarity; sketches of several widths."""
+    ids = [x for x in map(lambda t: ss.ids_of(t, 5), texts_of(4)) if len(x)]
+    sketches, sizes = [ss.sketch_of(x) for x in ids], np.array([len(x) for x in ids])
+    bounds = set_join.pair_bounds(sketches, sizes, sketches[::-1], sizes[::-1])
+    for i, a in enumerate(ids):
+        for j, b in enumerate(ids[::-1]):
+            assert bounds[i, j] >= ss.similarity(ss.common(a, b), len(a), len(b))
+
+
+def test_frequent_shingles_list_no_pairs(spark, monkeypatch):
+    """Texts of the same few words share all their shingles' holders, but hardly a pair is similar: none is stored."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdef", k=6)) for _ in range(60)]
+    rows = [(str(i), "", " ".join(rnd.sample(words, 30))) for i in range(300)]
+    rows += [(f"{i}x", "", text + " end") for i, _, text in rows[:3]]
+    articles = frame(spark, rows)
+    texts = materialize(text_groups(extract_features(articles)))
+    stored, keep = [], set_join.materialize
+    monkeypatch.setattr(set_join, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
+    found = set_join.similar_text_pairs(texts, articles)
+    want = {(a[0], b[0]) for a, b in combinations(sorted(rows), 2) if jaccard(shingles(a[2]), shingles(b[2])) >= 0.8}
+    assert {(r.article_id_a, r.article_id_b) for r in found.collect()} == want and len(want) >= 3
+    assert max(df.count() for df in stored) <= 303
+
+
 @pytest.mark.parametrize("listed", [(1, 1), (1, 1000), (1000, 1000)])
 def test_bucket_size_does_not_decide(spark, monkeypatch, listed):
     """All buckets through listing, through pivots, and through the prefix filter: the same components."""
