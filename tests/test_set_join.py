@@ -135,6 +135,23 @@ def test_pair_bounds():
             assert bounds[i, j] >= ss.similarity(ss.common(a, b), len(a), len(b))
 
 
+def test_dense_families_are_sent_once(spark, monkeypatch):
+    """Near copies of one text: all are pairs, and one unit holds them instead of one for each text."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdef", k=6)) for _ in range(200)]
+    rows = [(str(i), "", " ".join(words) + f" {i}") for i in range(40)]
+    articles = frame(spark, rows)
+    texts = materialize(text_groups(extract_features(articles)))
+    units, per_unit = [], set_join.per_unit
+    monkeypatch.setattr(set_join, "per_unit", lambda pairs, *a, **k: units.append(pairs) or per_unit(pairs, *a, **k))
+    found = set_join.similar_text_pairs(texts, articles)
+    assert found.count() == 40 * 39 // 2
+    assert units[-1].select("unit").distinct().count() == 1
+    monkeypatch.setattr(set_join, "FAMILY", 15)
+    again = set_join.similar_text_pairs(texts, articles)
+    assert found.exceptAll(again.select(found.columns)).count() == 0 and units[-1].select("unit").distinct().count() > 1
+
+
 def test_frequent_shingles_list_no_pairs(spark, monkeypatch):
     """Texts of the same few words share all their shingles' holders, but hardly a pair is similar: none is stored."""
     rnd = random.Random(8)
