@@ -355,6 +355,60 @@ def test_context_mixing_learns_context(spark):
     assert gain > 0.2  # of at most log10(2) for the language
 
 
+def test_context_mixing_and_new_words(spark):
+    """New words are one symbol of the base; the score is a mixture with it, so never far below, however they are spelled."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices(WORDS["en"], k=40))) for i in range(60)]
+    out = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    odd = ["q" * 3000, "zzxq", " ".join(f"n{i}xyzzy{i}" for i in range(200)), "of zzxq the", "", None, "日本語" * 500]
+    rows += list(zip(out, odd))
+    found = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string"), fold(F.col("doc_id"), 5, 1)).collect()
+    assert len(found) == len(rows)
+    assert all(math.isfinite(r.score) and r.base_score - math.log10(2) - 1e-9 <= r.score < 0 for r in found)
+    # Letters are paid for in the other score.
+    spelled = {r.doc_id: r.spelled_score for r in found}
+    assert spelled[out[0]] < spelled[out[1]] < 0
+    assert all(r.bits_per_byte == pytest.approx(-r.spelled_score * math.log2(10) / len((dict(rows)[r.doc_id] or "").encode())) for r in found if dict(rows)[r.doc_id])
+
+
+def test_word_classes_count_every_text(spark):
+    rows = documents()
+    frame = spark.createDataFrame([(i, t or "") for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    texts = [(t or "").encode().lower().split() for _, t, _ in rows]
+    words = [w for w, _ in Counter(w for t in texts for w in t).most_common(90)]
+    want = np.zeros((len(words), context_mixing.MARKERS + 1))
+    for text in texts:
+        last = context_mixing.MARKERS
+        for word in text:
+            if word in words:
+                want[words.index(word), last] += 1
+                last = words.index(word) if words.index(word) < context_mixing.MARKERS else last
+    assert (context_mixing.marker_counts(frame, words) == want).all()
+
+
+def test_first_weights_use_every_text(spark, monkeypatch):
+    """With weights held, the parts add up to the sums over the whole corpus."""
+    rows = [(i, (t or "").lower()) for i, t, _ in documents()]
+    texts = [t.encode() for _, t in rows]
+    words = [w.encode() for w in (*WORDS["en"], *WORDS["de"])]
+    code = context_mixing.Code(words, list(range(len(words), 0, -1)), 2, 8)
+    tables = {k: np.zeros((1 << (context_mixing.SLOT_BITS if k < 2 else context_mixing.SPELL_BITS), 2), dtype=np.float32) for k in range(6)}
+    model = context_mixing.Model(code, tables)
+    got: dict[int, list] = {}
+
+    def step(self, sums):
+        got.setdefault(id(self), []).append(sums.copy())
+        return self.now.astype(np.float32)
+
+    monkeypatch.setattr(context_mixing.Newton, "step", step)
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    context_mixing.fit(model, train, context_mixing.count_words(train))
+    want = [*model.path_sums(texts), model.letter_sums(sorted({w for t in texts for w in t.split()} - set(words)))]
+    for own, whole in zip(got.values(), want, strict=True):
+        assert len(own) == context_mixing.PARTS
+        assert sum(own) == pytest.approx(whole, rel=1e-4, abs=1e-3)
+
+
 def test_code_is_complete():
     """The probabilities of all code paths of a token add up to one."""
     words = [b"a", b"b", b"c"]
