@@ -117,6 +117,25 @@ def test_no_text_travels_with_pairs(spark):
     assert kept == pairs.columns
 
 
+def test_sets_are_made_where_texts_arrive(spark, monkeypatch):
+    """No stored or shuffled row holds a shingle set, which is several times its text; small groups give the same scores."""
+    rows, articles, texts = corpus_tables(spark)
+    pairs = materialize(cand.candidate_pairs(cand.stored_members(texts)))
+    stored, write = [], set_join.materialize
+    monkeypatch.setattr(set_join, "materialize", lambda df: stored.append(df) or write(df))
+    got = {(r.article_id_a, r.article_id_b): r.score for r in set_join.score_pairs(pairs, articles).collect()}
+    assert stored and not any(f.dataType.simpleString() == "binary" for df in stored for f in df.schema.fields)
+    plan = stored[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "ids" not in plan.replace("article_ids", "")
+    text = {i: (t or "") for i, t in articles.transform(set_join.with_normalized).select("article_id", "normalized").collect()}
+    sets = {i: ss.ids_of(t, 5) for i, t in text.items()}
+    assert got == pytest.approx({(a, b): ss.similarity(ss.common(sets[a], sets[b]), len(sets[a]), len(sets[b])) for a, b in got})
+    assert len(got) == pairs.count() > 0
+    for name, value in (("GROUP", 500), ("HOT_GROUPS", 2)):
+        monkeypatch.setattr(set_join, name, value)
+    assert {(r.article_id_a, r.article_id_b): r.score for r in set_join.score_pairs(pairs, articles).collect()} == got
+
+
 def test_sketches_change_no_result(spark):
     _, articles, texts = corpus_tables(spark, template=20)
     pairs = materialize(cand.candidate_pairs(cand.stored_members(texts)))
