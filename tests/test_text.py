@@ -203,3 +203,21 @@ def test_minhash_of_long_and_rich_texts(monkeypatch):
     want = np.min([fp.permuted(hashes[i : i + 100_000], a, b).min(axis=0) for i in range(0, n, 100_000)], axis=0)
     assert (values == want).all()
     assert peak < 1_200_000_000
+
+
+def test_known_shingles_are_not_hashed_again(monkeypatch):
+    """What a task has hashed it finds by id, also when it may remember a few shingles only."""
+    import pandas as pd
+
+    texts = ["the quick brown fox", "the quick brown cat", "", "\U0001f600" * 9, "新闻聚类系统 the quick"]
+    a, b = fp.coefficients(120)
+    want = [brute.minhash(text) for text in texts]
+    for least in (3, 30, 1000):
+        monkeypatch.setattr(fp, "_KNOWN", least)
+        known = {}
+        for group in (10, 1000):
+            monkeypatch.setattr(fp, "_GROUP", group)
+            assert [v.tolist() if n else [] for n, v in fp.minhashes(pd.Series(texts), 5, a, b, known)] == want
+            assert len(known["ids"]) <= least
+    monkeypatch.setattr(fp, "_digests", None)
+    assert [v.tolist() if n else [] for n, v in fp.minhashes(pd.Series(texts), 5, a, b, known)] == want
