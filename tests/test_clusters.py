@@ -16,6 +16,7 @@ from twinfold.operators import joins
 from twinfold.operators.components import connected_components
 from twinfold.session import materialize
 from twinfold.sources.articles import with_id_lists
+from twinfold.streaming import incremental
 from twinfold.streaming.incremental import IncrementalClusters, article_stream
 
 ROWS = corpus(template=40)
@@ -145,6 +146,33 @@ def test_state_without_an_index(spark, tmp_path):
     assert found == {"1": ("cluster_1", 1.0), "2": ("cluster_1", 1.0), "3": (None, None)}
 
 
+@pytest.mark.parametrize("kept", [True, False])
+def test_stream_compares_by_sketches(spark, tmp_path, monkeypatch, kept):
+    """A batch knows the sketches of all texts that it compares; a state from before they were kept gives the same clusters."""
+    words = [f"word{i}" for i in range(40)]
+    variants = [("1", "", " ".join(words)), ("2", "", " ".join(words[:-1] + ["other"])), ("3", "", " ".join(words[::-1])), ("4", "", "something else")]
+    rows = brute.frame(spark, variants)
+    state_of = IncrementalClusters(spark, str(tmp_path / "state"))
+    state_of.apply(rows.where("article_id <> '2'"), 0)
+    if not kept:
+        folder = tmp_path / "state" / "texts" / "batch=0"
+        before = materialize(spark.read.parquet(str(folder)).drop("sketch"))
+        before.write.mode("overwrite").parquet(str(folder))
+    asked = []
+
+    def compared(members, articles, params, links, total=None, sketches=None):
+        ids = {r.article_id for r in members.select("article_id").distinct().collect()}
+        asked.append((ids, {r.article_id: r.sketch for r in sketches.collect()}))
+        return cl.verified_edges(members, articles, params, links, total, sketches)
+
+    monkeypatch.setattr(incremental, "verified_edges", compared)
+    state_of.apply(rows.where("article_id = '2'"), 1)
+    [(ids, sketches)] = asked
+    assert {"1", "2"} <= ids <= set(sketches)
+    assert sketches["2"] is not None and (sketches["1"] is not None) == kept
+    assert state(state_of.assigned()) == brute.clusters(as_texts(variants))
+
+
 def test_file_stream(spark, articles, tmp_path):
     inbox = str(tmp_path / "inbox")
     articles.repartition(2).write.parquet(inbox)

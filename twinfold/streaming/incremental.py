@@ -3,7 +3,7 @@
 State is a folder of append-only tables, one ``batch=<id>`` partition per batch:
 
   articles  new articles with text          updates  changed fields of known articles
-  features  fingerprint and first label     texts    texts not seen before, with buckets
+  features  fingerprint and first label     texts    texts not seen before, with buckets and sketch
   scores    similarity scores               aliases  labels that were merged into another
   rejects   invalid rows with their reasons
 
@@ -49,7 +49,8 @@ TABLES = {
     "updates": ARTICLE,
     "features": _columns(article_id=_ID, simhash=_LONG, label=_ID),
     "texts": _columns(
-        article_id=_ID, text_key=T.BinaryType(), simhash=_LONG, n_shingles=T.IntegerType(), buckets=T.ArrayType(_LONG)
+        article_id=_ID, text_key=T.BinaryType(), simhash=_LONG, n_shingles=T.IntegerType(), buckets=T.ArrayType(_LONG),
+        sketch=T.BinaryType(),  # null in a state from before sketches were kept
     ),
     "scores": _columns(article_id=_ID, label=_ID, score=T.DoubleType()),
     "aliases": _columns(label=_ID, present=_ID),
@@ -174,7 +175,10 @@ class IncrementalClusters:
             articles.select("article_id", "title", "content", F.lit(batch).alias("batch"))
         )
         links = old.select(F.col("article_id").alias("u"), F.col("label").alias("v"))
-        return verified_edges(rows.unionByName(old_rows), both, self.params, links)
+        asked = materialize(old_rows.select("article_id", "batch").distinct())
+        stored = self.table("texts", batch).select("article_id", "batch", "sketch").join(asked, ["article_id", "batch"], "left_semi")
+        sketches = materialize(texts.select("article_id", "sketch").unionByName(stored.select("article_id", "sketch")))
+        return verified_edges(rows.unionByName(old_rows), both, self.params, links, None, sketches)
 
     def _label(
         self, features: DataFrame, groups: DataFrame, earlier: DataFrame, edges: DataFrame, old: DataFrame, batch: int
