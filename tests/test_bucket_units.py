@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.brute import frame, jaccard, shingles
 from twinfold.operators import block_join, bucket_units
+from twinfold.operators import candidates as cand
 from twinfold.operators import clusters as cl
 from twinfold.operators.features import extract_features, text_groups
 from twinfold.operators.set_join import possible
@@ -113,3 +114,40 @@ def test_sets_are_made_after_the_join(spark, monkeypatch, tmp_path):
     lines = plan.splitlines()
     semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
     assert not any("PythonEval" in line or "ArrowEval" in line or "value(" in line for line in lines[semi:])
+
+
+def test_near_texts_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(bucket_units, "WHOLE", 2)
+    monkeypatch.setattr(bucket_units, "PIECE", 9)
+    _, _, _, members, dealt = bucket_table(spark, 11)
+    rnd = random.Random(2)
+    value = {r.article_id: rnd.choice((0, -1, 255)) ^ (1 << rnd.randrange(8) | 1 << rnd.randrange(63)) for r in members.collect()}
+    known = spark.createDataFrame(list(value.items()), "article_id string, simhash bigint")
+    members = materialize(members.drop("simhash").join(known, "article_id").select(*members.columns))
+    for distance in (0, 2):
+        near = [p for p in shared_buckets(dealt) if bin((value[p[0]] ^ value[p[1]]) & (1 << 64) - 1).count("1") <= distance]
+        found = [r.article_id for r in bucket_units.near_texts(members, distance).collect()]
+        assert sorted(found) == sorted({key for pair in near for key in pair}) and found
+
+
+def test_verdicts_do_not_list_all_candidates(spark, monkeypatch):
+    """Pairs of duplicates, which the verdict needs no score of, are not stored; verdicts are those of all candidates."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdef", k=6)) for _ in range(60)]
+    whole = " ".join(words * 3)
+    rows = [(f"{i:03d}", "", whole + f" {i}" if i < 20 else " ".join(rnd.sample(words, 40))) for i in range(40)]
+    articles = materialize(frame(spark, rows))
+    features = materialize(extract_features(articles))
+    texts = materialize(text_groups(features))
+    stored, keep = [], cand.materialize
+    monkeypatch.setattr(cand, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
+    found = {r.article_id: (r.verdict, r.score) for r in cand.classify_articles(features, texts, articles).collect()}
+    listed = [df.count() for df in stored if "article_id_b" in df.columns]
+    pairs = {(r.article_id_a, r.article_id_b): r for r in cand.hamming_pairs(cand.candidates(texts)).collect()}
+    sets = {key: shingles(text) for key, _, text in rows}
+    for key, _, _ in rows:
+        mine = [(p, r) for p, r in pairs.items() if key in p]
+        best = max((jaccard(sets[a], sets[b]) for (a, b), _ in mine), default=0.0)
+        near = any(r.distance <= DEFAULT.hamming for _, r in mine)
+        assert found[key] == (("duplicate", 1.0) if near else ("similar", pytest.approx(best)) if best >= 0.8 else ("unique", 0.0))
+    assert sum(v == "duplicate" for v, _ in found.values()) > 10 and max(listed) < len(pairs) / 2
