@@ -234,3 +234,20 @@ def test_common_counts():
     want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
     assert block_join.common_counts(left, right).tolist() == want
     assert block_join.common_counts([np.array([1], dtype=np.uint64)], [np.array([2], dtype=np.uint64)]).tolist() == [[0]]
+
+
+def test_texts_are_sent_packed(spark, monkeypatch):
+    """What units are sent is compressed text by text: less than the text, and the scores are those of the text."""
+    words = ["one", "two", "three", "four", "新闻", "\U0001f600"]
+    rows = [(str(i), "", " ".join(words * 60) + f" {i}" * (i % 3)) for i in range(6)]
+    articles = frame(spark, rows)
+    texts = materialize(text_groups(extract_features(articles)))
+    sent, per_unit = [], set_join.per_unit
+    monkeypatch.setattr(set_join, "per_unit", lambda pairs, values, *a, **k: sent.append(values) or per_unit(pairs, values, *a, **k))
+    pairs = materialize(cand.candidate_pairs(cand.stored_members(texts)))
+    found = {(r.article_id_a, r.article_id_b): r.score for r in set_join.score_pairs(pairs, articles).collect()}
+    sets = {key: shingles(text) for key, _, text in rows}
+    assert found == {pair: jaccard(sets[pair[0]], sets[pair[1]]) for pair in found} and found
+    [values] = sent
+    sizes = {r.article_id: len(r[1]) for r in values.collect()}
+    assert sizes and all(n < len(rows[int(key)][2].encode()) / 4 for key, n in sizes.items())
